@@ -94,7 +94,7 @@ FROM (SELECT DISTINCT rel_id, way_id FROM v_route_members) JOIN {MARKINGS_SQL} U
 def _(d):
     m = T.route_membership(d.route_members, d.relations)
     text = F.transform("routes", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), F.coalesce(r["name"], F.lit("")), F.lit(":"), F.coalesce(r["color"], F.lit(""))))
-    return m.select("way_id", F.size("routes").alias("n_routes"), F.array_join(text, "|").alias("routes"))
+    return m.select("way_id", F.size("routes").cast("long").alias("n_routes"), F.array_join(text, "|").alias("routes"))
 
 
 @query("classify_trails", f"""SELECT way_id, kind, round(hidden_score, 6) AS hidden_score, difficulty, surface_class, track_grade, mtb_scale,
