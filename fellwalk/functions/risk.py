@@ -78,18 +78,24 @@ def mode_factor(mode) -> Column:
 def next_sunset_ms(ms, lng, lat) -> Column:
     """First falling crossing of the horizon within 24 h: ten-minute steps, then 12 bisections; null if none."""
     ms, step = col(ms), 600000.0
-    up = F.transform(F.sequence(F.lit(0), F.lit(144)), lambda i: sun_elevation_ms(ms + i * step, lng, lat) >= SUN_HORIZON)
-    i = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.get(up, i) & ~F.get(up, i + 1)), True)
-    start = ms + (i - 1) * step
+
+    def is_up(t):
+        return sun_elevation_ms(t, lng, lat) >= SUN_HORIZON
+
+    def scan(acc, i):
+        up = F.when(acc["at"].isNull(), is_up(ms + i * step))
+        return F.struct(up.alias("up"), F.coalesce(acc["at"], F.when(acc["up"] & ~up, ms + (i - 1) * step)).alias("at"))
+
+    first = F.struct(is_up(ms).alias("up"), F.lit(None).cast("double").alias("at"))
+    start = F.aggregate(F.sequence(F.lit(1), F.lit(144)), first, scan, lambda acc: acc["at"])
 
     def halve(acc, _):
         m = (acc["a"] + acc["b"]) / 2
-        day = sun_elevation_ms(m, lng, lat) >= SUN_HORIZON
+        day = is_up(m)
         return F.struct(F.when(day, m).otherwise(acc["a"]).alias("a"), F.when(day, acc["b"]).otherwise(m).alias("b"))
 
-    zero = F.struct(start.cast("double").alias("a"), (start + step).cast("double").alias("b"))
-    r = F.aggregate(F.sequence(F.lit(1), F.lit(12)), zero, halve, lambda acc: (acc["a"] + acc["b"]) / 2)
-    return F.when(i > 0, r)
+    zero = F.struct(start.alias("a"), (start + step).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), zero, halve, lambda acc: (acc["a"] + acc["b"]) / 2)
 
 
 def risk_index(d) -> Column:

@@ -116,9 +116,9 @@ def local_density(points: DataFrame, key: str, cells: DataFrame, grid: Grid, fin
     home = points.withColumns({"tile_lon": F.floor("lng").cast("int"), "tile_lat": F.floor("lat").cast("int")}).join(
         loaded, ["tile_lon", "tile_lat"], "left").select(key, F.coalesce("_has", F.lit(False)).alias("has_fine"))
     coarse = local_density_coarse(points, key, cells, grid, sigma_km).withColumnRenamed("density", "_coarse")
-    out = home.join(agg, key).join(coarse, key)
-    use = F.col("has_fine") & ~F.col("_missing")
-    return out.select(key, F.when(use, F.col("_fine")).otherwise(F.col("_coarse")).alias("density"), "has_fine")
+    out = home.join(agg, key, "left").join(coarse, key)
+    use = F.col("has_fine") & ~F.coalesce("_missing", F.lit(False))
+    return out.select(key, F.when(use, F.coalesce("_fine", F.lit(0.0))).otherwise(F.col("_coarse")).alias("density"), "has_fine")
 
 
 def season_light_mode(df: DataFrame, ts: str = "ts", mode: str = "mode", tz: str = "UTC") -> DataFrame:

@@ -96,7 +96,7 @@ def local_sql(sigma):
     SELECT id, lng0, lat0, kmx, j, unnest(range(0, CAST(floor({2 * r:e} / kmx) AS BIGINT) + 1)) AS i FROM (
      SELECT id, lng AS lng0, lat AS lat0, 2e-2 * 1.1132e2 * cos(radians(lat)) AS kmx, unnest(range(0, CAST(floor({2 * r:e} / (2e-2 * 1.1132e2)) AS BIGINT) + 1)) AS j FROM v_places)))
    WHERE exp(-(dx * dx + dy * dy) / {2 * sigma * sigma:e}) >= 1e-2)"""
-    return f"""(SELECT p.id, l.tile_lon IS NOT NULL AS has_fine, CASE WHEN l.tile_lon IS NOT NULL AND NOT f.missing THEN f.density ELSE c.density END AS density
+    return f"""(SELECT p.id, l.tile_lon IS NOT NULL AS has_fine, CASE WHEN l.tile_lon IS NOT NULL AND NOT coalesce(f.missing, false) THEN coalesce(f.density, 0e0) ELSE c.density END AS density
  FROM v_places p LEFT JOIN (SELECT DISTINCT tile_lon, tile_lat FROM {FINE}) l ON l.tile_lon = CAST(floor(lng) AS INT) AND l.tile_lat = CAST(floor(lat) AS INT)
  LEFT JOIN (SELECT id, sum(w * fine_density) / sum(w) AS density, bool_or(fine_density IS NULL) AS missing FROM {_fine_at_sql(lattice, 'id')} GROUP BY id) f ON f.id = p.id
  JOIN {local_coarse_sql(sigma)} c ON c.id = p.id)"""
@@ -155,10 +155,11 @@ def _(d):
 def _sunset_sql():
     steps = f"(SELECT id, lng, lat, ms AS ms0, i, ms + i * 6e5 AS ms FROM {REQ_SQL}, (SELECT unnest(range(0, 145)) AS i))"
     first = f"(SELECT id, any_value(lng) AS lng, any_value(lat) AS lat, any_value(ms0) AS ms0, bool_or(i = 0 AND el >= -8.33e-1) AS up, min(CASE WHEN el >= -8.33e-1 AND nxt < -8.33e-1 THEN ms END) AS a FROM (SELECT *, lead(el) OVER (PARTITION BY id ORDER BY i) AS nxt FROM {sun_sql(steps)}) GROUP BY id)"
-    cur = f"(SELECT id, lng, lat, ms0, up, a, a + 6e5 AS b FROM {first})"
-    for _ in range(12):
-        cur = f"(SELECT id, lng, lat, ms0, up, CASE WHEN el >= -8.33e-1 THEN ms ELSE a END AS a, CASE WHEN el >= -8.33e-1 THEN b ELSE ms END AS b FROM {sun_sql(f'(SELECT *, (a + b) / 2 AS ms FROM {cur})')})"
-    return f"SELECT id, up, round((a + b) / 2 - ms0, 1) AS until_ms, round(CASE WHEN up THEN (a + b) / 2 - ms0 ELSE 0e0 END, 1) AS left_ms FROM {cur}"
+    ctes = [f"s0 AS MATERIALIZED (SELECT id, lng, lat, ms0, up, a, a + 6e5 AS b FROM {first})"]
+    for k in range(12):
+        mid = sun_sql(f"(SELECT *, (a + b) / 2 AS ms FROM s{k})")
+        ctes.append(f"s{k + 1} AS MATERIALIZED (SELECT id, lng, lat, ms0, up, CASE WHEN el >= -8.33e-1 THEN ms ELSE a END AS a, CASE WHEN el >= -8.33e-1 THEN b ELSE ms END AS b FROM {mid})")
+    return "WITH " + ",\n".join(ctes) + " SELECT id, up, round((a + b) / 2 - ms0, 1) AS until_ms, round(CASE WHEN up THEN (a + b) / 2 - ms0 ELSE 0e0 END, 1) AS left_ms FROM s12"
 
 
 @query("daylight", _sunset_sql())
