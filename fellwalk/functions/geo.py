@@ -36,7 +36,8 @@ def haversine_m(lng1, lat1, lng2, lat2) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
     b = F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
     h = a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() skips nulls, so the clamp keeps unknown positions unknown by hand
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(h <= 1.0, h).when(h > 1.0, 1.0)))
 
 
 def planar_km(lng1, lat1, lng2, lat2) -> Column:

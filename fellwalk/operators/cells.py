@@ -91,7 +91,7 @@ def nearest_segments(points: DataFrame, key: str, segments: DataFrame, seg_cols:
     """Closest segment within `max_m` per point, planar metric around the point's latitude.
 
     Points carry lng/lat; segments ax, ay, bx, by and `seg_cols` (also the tie
-    order). Every pair is reduced by a partial minimum before it is shuffled.
+    order, at micrometre precision). Every pair is reduced by a partial minimum before it is shuffled.
     """
     size = max(max_m, 25.0) / METRES_PER_DEGREE
     seg = segment_cells(segments.select("ax", "ay", "bx", "by", *seg_cols), size)
@@ -101,7 +101,7 @@ def nearest_segments(points: DataFrame, key: str, segments: DataFrame, seg_cols:
                               (F.col("bx") - F.col("lng")) * m_x, (F.col("by") - F.col("lat")) * ky)
     pairs = pts.join(seg, ["_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") <= max_m)
     best = pairs.withColumn("_t", t).groupBy(key).agg(F.min(F.struct(
-        F.col("_d").alias("d"), *[F.col(c) for c in seg_cols], F.col("_t").alias("t"),
+        F.round("_d", 6).alias("d"), *[F.col(c) for c in seg_cols], F.col("_t").alias("t"),
         (F.col("ax") + F.col("_t") * (F.col("bx") - F.col("ax"))).alias("sx"),
         (F.col("ay") + F.col("_t") * (F.col("by") - F.col("ay"))).alias("sy"))).alias("_m"))
     return best.select(key, *[F.col(f"_m.{c}").alias(c) for c in seg_cols], F.col("_m.t").alias("t"),

@@ -216,7 +216,7 @@ def _(d):
 
 # DEM pixels from parts: 8x8 pixel tiles, alternating zoom 15 and 14, around the walked area
 DEM_SQL = """(SELECT 14 + k % 2 AS z, CASE WHEN k % 2 = 1 THEN 18659 ELSE 9329 END + CAST(floor(k / 2e0) AS INT) % 4 AS tx,
-   CASE WHEN k % 2 = 1 THEN 11780 ELSE 5888 END + CAST(floor(k / 8e0) AS INT) % 8 AS ty, i % 8 AS ix, CAST(floor(i / 8e0) AS INT) AS iy, ele
+   CASE WHEN k % 2 = 1 THEN 11785 ELSE 5892 END + CAST(floor(k / 8e0) AS INT) % 8 AS ty, i % 8 AS ix, CAST(floor(i / 8e0) AS INT) AS iy, ele
  FROM (SELECT CAST(floor(p_partkey / 6.4e1) AS INT) % 64 AS k, CAST(p_partkey % 64 AS INT) AS i, avg(CAST(600 + (p_partkey * 37) % 1500 AS DOUBLE)) AS ele
        FROM part GROUP BY 1, 2))"""
 
@@ -229,7 +229,7 @@ def dem_pixels(d):
     odd = F.col("k") % 2 == 1
     return src.select((14 + F.col("k") % 2).alias("z"),
                       (F.when(odd, 18659).otherwise(9329) + F.floor(F.col("k") / 2) % 4).cast("int").alias("tx"),
-                      (F.when(odd, 11780).otherwise(5888) + F.floor(F.col("k") / 8) % 8).cast("int").alias("ty"),
+                      (F.when(odd, 11785).otherwise(5892) + F.floor(F.col("k") / 8) % 8).cast("int").alias("ty"),
                       (F.col("i") % 8).alias("ix"), F.floor(F.col("i") / 8).cast("int").alias("iy"), "ele")
 
 
