@@ -187,12 +187,14 @@ def _thin_pass(cells: DataFrame, grids: DataFrame, second: bool) -> DataFrame:
 def skeletonize(cells: DataFrame, grids: DataFrame, max_rounds: int = 500) -> DataFrame:
     """Two-sub-pass thinning to one-cell-wide lines; all deletions of a sub-pass happen at once."""
     cur = cut(cells.select(*KEY).distinct())
+    n = cur.count()
     for _ in range(max_rounds):
-        a = cut(_thin_pass(cur, grids, False))
-        b = cut(_thin_pass(a.where("not gone").select(*KEY), grids, True))
-        cur = b.where("not gone").select(*KEY)
-        if a.where("gone").isEmpty() and b.where("gone").isEmpty():
-            return cur
+        first = _thin_pass(cur, grids, False).where("not gone").select(*KEY)
+        new = cut(_thin_pass(first, grids, True).where("not gone").select(*KEY))
+        left = new.count()
+        if left == n:
+            return new
+        cur, n = new, left
     raise RuntimeError(f"thinning did not settle after {max_rounds} rounds")
 
 

@@ -21,7 +21,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         low = f.join(near, "id", "left").withColumn("m", F.least("m", "label"))
         roots = low.where("m < label").groupBy(F.col("label").alias("root")).agg(F.min("m").alias("r"))
         hooked = low.join(roots.select(F.col("root").alias("id"), "r"), "id", "left").select("id", F.least("m", "r").alias("p"), "label")
-        hooked = cut(hooked)
         jump = hooked.select(F.col("id").alias("p"), F.col("p").alias("pp"))
         new = cut(hooked.join(jump, "p", "left").select("id", F.least("p", "pp").alias("label"), (F.least("p", "pp") < F.col("label")).alias("moved")))
         f = new.select("id", "label")
