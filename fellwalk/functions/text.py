@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accented Latin letters and their base letters, by canonical decomposition.
 _PAIRS = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if "a" <= unicodedata.normalize("NFD", chr(c))[0] <= "z" and chr(c).islower()]
@@ -64,32 +66,48 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(total > 0, inter / total).otherwise(0.0)
 
 
-def edit_distance(a: Column, b: Column, limit: int) -> Column:
-    """Restricted Damerau distance (adjacent swaps count once), limit + 1 when larger.
+def _osa_batch(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
+    """Restricted Damerau distance of the pairs that a bound could not settle; null inputs stay null."""
+    out = []
+    for x, y, lim in zip(a, b, limit):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        before, row = None, list(range(len(y) + 1))
+        for i, cx in enumerate(x, 1):
+            new = [i]
+            for j, cy in enumerate(y, 1):
+                v = min(row[j] + 1, new[-1] + 1, row[j - 1] + (cx != cy))
+                if i > 1 and j > 1 and cx == y[j - 2] and x[i - 2] == cy:
+                    v = min(v, before[j - 2] + 1)
+                new.append(v)
+            before, row = row, new
+        out.append(min(row[-1], lim + 1))
+    return pd.Series(out, dtype="Int32")
 
-    Rows of the table are folded over the characters of `a`, the cells of a row over those of `b`.
-    """
-    ca, cb = F.filter(F.split(a, ""), lambda x: x != ""), F.filter(F.split(b, ""), lambda x: x != "")
-    at = lambda arr, i: F.get(arr, i)
 
-    def row(acc, i):
-        prev, prev2 = acc["p"], acc["q"]
+_osa = F.pandas_udf(_osa_batch, T.IntegerType())
+
 
-        def cell(r, j):
-            cost = F.when(at(ca, i - 1) == at(cb, j - 1), 0).otherwise(1)
-            v = F.least(at(prev, j) + 1, F.element_at(r, -1) + 1, at(prev, j - 1) + cost)
-            swap = (i > 1) & (j > 1) & (at(ca, i - 1) == at(cb, j - 2)) & (at(ca, i - 2) == at(cb, j - 1))
-            return F.concat(r, F.array(F.when(F.coalesce(swap, F.lit(False)), F.least(v, at(prev2, j - 2) + 1)).otherwise(v)))
+def edit_distance(a: Column, b: Column, limit: int) -> Column:
+    """Restricted Damerau distance (an adjacent swap counts once), limit + 1 when larger.
+
+    The built-in Levenshtein distance L settles most pairs: L <= 1 is exact, and as a swap saves at
+    most half, L > 2 * limit is too far. Only the rest goes to the Arrow batch function.
+    """
+    lev = F.levenshtein(a, b)
+    far = (F.abs(F.length(a) - F.length(b)) > limit) | (lev > 2 * limit)
+    open_ = ~far & (lev > 1)
+    d = _osa(F.when(open_, a), F.when(open_, b), F.lit(limit))
+    return F.when(far, limit + 1).when(lev <= 1, lev).otherwise(d)
 
-        js = F.when(F.size(cb) > 0, F.sequence(F.lit(1), F.size(cb))).otherwise(F.array().cast("array<int>"))
-        return F.struct(F.aggregate(js, F.array(i), cell).alias("p"), prev.alias("q"))
 
-    start = F.struct(F.sequence(F.lit(0), F.size(cb)).alias("p"), F.sequence(F.lit(0), F.size(cb)).alias("q"))
-    i_s = F.when(F.size(ca) > 0, F.sequence(F.lit(1), F.size(ca))).otherwise(F.array().cast("array<int>"))
-    d = F.aggregate(i_s, start, row, lambda acc: F.element_at(acc["p"], -1))
-    # a plain Levenshtein bound settles the many far pairs cheaply: a swap saves at most half
-    far = (F.abs(F.length(a) - F.length(b)) > limit) | (F.levenshtein(a, b) > 2 * limit)
-    return F.when(far, limit + 1).otherwise(F.least(d, F.lit(limit + 1)))
+def within_one(a: Column, b: Column) -> Column:
+    """Edit distance at most one, built-ins only: one edit or one adjacent swap."""
+    n = F.length(a)
+    swaps = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(
+        F.left(a, i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n)) == b)
+    return (F.levenshtein(a, b) <= 1) | ((n == F.length(b)) & (n > 1) & (F.levenshtein(a, b) == 2) & swaps)
 
 
 def token_match(q: Column, n: Column) -> Column:
@@ -97,7 +115,7 @@ def token_match(q: Column, n: Column) -> Column:
     lq, ln = F.length(q), F.length(n)
     d = edit_distance(q, n, 2)
     typo = (F.when(d == 1, 0.8).when((d == 2) & (lq >= 6), 0.6)
-            .when((ln > lq) & (edit_distance(q, F.left(n, lq), 1) == 1), 0.55).otherwise(0.0))
+            .when((ln > lq) & within_one(q, F.left(n, lq)) & (q != F.left(n, lq)), 0.55).otherwise(0.0))
     return (F.when(q == n, 1.0).when(stem(q) == stem(n), 0.95).when((lq >= 3) & n.startswith(q), 0.6 + 0.3 * (lq / ln))
             .when(lq >= 4, typo).otherwise(0.0))
 

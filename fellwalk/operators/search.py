@@ -316,9 +316,12 @@ def ranking_features(cands: DataFrame, parsed: DataFrame, index: dict[str, DataF
     ent = F.when(F.size(distinct) > 0, F.size(F.filter(distinct, lambda t: F.array_contains("used", t))) / F.size(distinct)).otherwise((F.size("used") > 0).cast("double"))
     per = per.withColumns({"ent": ent, "cover": F.round(F.coalesce("cover", F.lit(0.0)), 9)})
     top = per.groupBy("query_id", "id").agg(F.max(F.struct("cover", "ent", (-F.col("idx")).alias("ni"), "plain", "low", "stems")).alias("t"))
+    on = (F.col("idx") == 0) & (F.col("m0") > 0)
+    hits = m.groupBy("query_id", "id").agg(F.count_distinct(F.when(on & ~is_generic(F.col("name_stem")), F.col("pos"))).alias("core_hits"),
+                                           F.count_distinct(F.when(on, F.col("pos"))).alias("any_hits"))
     cover_all = coverage(base.join(_words(p, "content", F.lit(False)), "query_id"), names)
     arr = names.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "stems", "tokens"))).alias("nm"))
-    f = base.join(p, "query_id").join(entries.select("id", "cat", "lng", "lat", "imp"), "id").join(arr, "id").join(top, ["query_id", "id"], "left").join(cover_all, ["query_id", "id"], "left")
+    f = base.join(p, "query_id").join(entries.select("id", "cat", "lng", "lat", "imp"), "id").join(arr, "id").join(top, ["query_id", "id"], "left").join(hits, ["query_id", "id"], "left").join(cover_all, ["query_id", "id"], "left")
     zero = F.lit(0.0)
     first = F.get("nm", F.lit(0))["stems"]
     core0 = F.filter(first, lambda t: ~is_generic(t))
@@ -328,7 +331,7 @@ def ranking_features(cands: DataFrame, parsed: DataFrame, index: dict[str, DataF
     q_stem, q_full = join(F.transform("match", X.stem)), join(F.transform(F.concat("cue", "name"), X.stem))
     cues = F.transform("cue", X.stem)
     flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
-    cue_in = F.exists(cues, lambda c: F.exists(first, lambda t: (t == c) | ((F.length(c) >= 4) & (X.edit_distance(c, t, 1) <= 1))))
+    cue_in = F.exists(cues, lambda c: F.exists(first, lambda t: (t == c) | ((F.length(c) >= 4) & X.within_one(c, t))))
     d_a, d_f = planar_km("lng", "lat", "a_lng", "a_lat"), planar_km("lng", "lat", "focus_lng", "focus_lat")
     lg = lambda d: F.log10(1 + d) / 3
     home = planar_km("lng", "lat", F.lit(HOME[0]), F.lit(HOME[1])) < 35
@@ -337,7 +340,7 @@ def ranking_features(cands: DataFrame, parsed: DataFrame, index: dict[str, DataF
     plain = F.coalesce("t.plain", zero)
     more = F.size("content") > F.size("match")
     all_cover = F.when(more, F.coalesce("coverage", zero)).otherwise(plain)
-    extra_hits = F.size(F.filter("match", lambda w: F.exists(core, lambda c: X.token_match(w, c) > 0)))
+    extra_hits = F.coalesce(F.when(F.size(core0) > 0, F.col("core_hits")).otherwise(F.col("any_hits")), F.lit(0))
     has_match = F.size("match") > 0
     prob = F.coalesce(F.get("cats", F.col("cat")), zero)
     cols = {

@@ -56,7 +56,7 @@ def pairs(d):
     return v.select(t.alias("a"), F.explode(F.array(drop, swap, F.reverse(t), F.concat(t, F.lit("xy")))).alias("b"))
 
 
-@query("jaccard", f"""WITH g AS (SELECT a, b, list_distinct(list_transform(range(1, length(a) + 2), i -> substr('  ' || a || ' ', CAST(i AS INT), 3))) AS x, list_distinct(list_transform(range(1, length(b) + 2), i -> substr('  ' || b || ' ', CAST(i AS INT), 3))) AS y
+@query("jaccard", f"""WITH g AS (SELECT a, b, list_distinct(list_transform(range(1, length(a) + 2), lambda i: substr('  ' || a || ' ', CAST(i AS INT), 3))) AS x, list_distinct(list_transform(range(1, length(b) + 2), lambda i: substr('  ' || b || ' ', CAST(i AS INT), 3))) AS y
  FROM (SELECT t AS a, reverse(t) AS b FROM {VOCAB} WHERE t <> '')) SELECT a, b, round(len(list_intersect(x, y)) * 1e0 / len(list_distinct(list_concat(x, y))), 6) AS sim FROM g""")
 def _(d):
     p = vocab(d).select(F.col("t").alias("a"), F.reverse("t").alias("b"))
@@ -160,12 +160,12 @@ def _(d):
     return S.near(q, "query_id", d.places, 20).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
 
 
-@query("browse", f"""SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+@query("browse", f"""SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT query_id, p.id, round(imp / 2.5e1 - log10(1 + {Q.km('focus_lng', 'focus_lat', 'lng', 'lat')}) * 2, 9) AS score FROM {QUERY_SQL} q JOIN v_places p ON floor(p.lng * 10) BETWEEN floor(focus_lng * 10) - 4 AND floor(focus_lng * 10) + 4
   AND floor(p.lat * 10) BETWEEN floor(focus_lat * 10) - 4 AND floor(focus_lat * 10) + 4 WHERE p.cat IN (4, 7, 16))) WHERE rank <= 20""")
 def _(d):
     q = queries(d).select("query_id", F.col("focus_lng").alias("lng"), F.col("focus_lat").alias("lat"))
-    return S.browse(q, "query_id", d.places, [4, 7, 16]).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return S.browse(q, "query_id", d.places, [4, 7, 16]).select("query_id", "id", "score", "rank")
 
 
 def _ranked(d):
@@ -229,14 +229,14 @@ def _(d):
     return S.learned_rank_score(pseudo_features(d), rank_weights()).select("id", F.round("score", 6).alias("score"))
 
 
-@query("local_search", f"""SELECT query_id, name, kind, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, name, kind) AS rank FROM (
+@query("local_search", f"""SELECT query_id, name, kind, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, name, kind) AS rank FROM (
   SELECT q.query_id, p.name, p.kind, round(CASE WHEN starts_with(p.name, w[1]) THEN 0e0 ELSE 1e0 END + sqrt(pow(p.lng - focus_lng, 2) + pow((p.lat - focus_lat) * 1.4, 2)) / 10, 9) AS score
   FROM (SELECT *, string_split(trim(query), ' ') AS w FROM {QUERY_SQL}) q JOIN (SELECT name, cat % 3 AS kind, arg_min(lng, (lng, lat)) AS lng, arg_min(lat, (lng, lat)) AS lat FROM v_places GROUP BY 1, 2) p
-   ON len(list_filter(w, x -> NOT contains(p.name, x))) = 0)) WHERE rank <= 8""")
+   ON len(list_filter(w, lambda x: NOT contains(p.name, x))) = 0)) WHERE rank <= 8""")
 def _(d):
     q = queries(d).select("query_id", "query", F.col("focus_lng").alias("lng"), F.col("focus_lat").alias("lat"))
     p = d.places.select("name", (F.col("cat") % 3).alias("kind"), "lng", "lat")
-    return S.local_search(q, p).select("query_id", "name", "kind", F.round("score", 6).alias("score"), "rank")
+    return S.local_search(q, p).select("query_id", "name", "kind", "score", "rank")
 
 
 @query("merge_external", f"""
