@@ -76,7 +76,7 @@ def names() -> tuple[Column, Column]:
     e = F.lit("")
     name = F.coalesce(F.nullif(tag("name"), e), tag("name:ro"), e)
     parts = F.flatten(F.array(*[F.split(F.coalesce(tag(k), e), ";") for k in NAME_KEYS]))
-    alt = F.array_distinct(F.filter(F.transform(parts, F.trim), lambda v: (v != "") & (v != name)))
+    alt = F.array_distinct(F.filter(F.transform(parts, lambda v: F.trim(v)), lambda v: (v != "") & (v != name)))
     return name, alt
 
 

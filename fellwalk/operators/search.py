@@ -246,8 +246,9 @@ def coverage(pairs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _words(parsed: DataFrame, col: str, typing: Column | None = None) -> DataFrame:
-    last = (F.col("pos") == F.size(col) - 1) & (typing if typing is not None else F.lit(True))
-    return parsed.select("query_id", "query", col, F.posexplode(col).alias("pos", "word")).select("query_id", "pos", "word", last.alias("last"))
+    flag = typing if typing is not None else F.lit(True)
+    rows = parsed.select("query_id", flag.alias("_t"), F.size(col).alias("_n"), F.posexplode(col).alias("pos", "word"))
+    return rows.select("query_id", "pos", "word", (F.col("_t") & (F.col("pos") == F.col("_n") - 1)).alias("last"))
 
 
 def resolve_anchor(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
@@ -441,7 +442,7 @@ def match_spans(results: DataFrame, query: str = "query", name: str = "name") ->
 
 def search_eval(results: DataFrame, cases: DataFrame) -> DataFrame:
     """top1 and top3 shares. results(query_id, name, cat, rank), cases(query_id, pattern, category nullable)."""
-    ok = F.lower("name").rlike(F.lower("pattern")) & (F.col("category").isNull() | (F.col("category") == F.col("cat")))
+    ok = F.rlike(F.lower("name"), F.lower("pattern")) & (F.col("category").isNull() | (F.col("category") == F.col("cat")))
     r = cases.join(results, "query_id", "left").withColumn("hit", F.when(ok, F.col("rank")))
     per = r.groupBy("query_id").agg(F.min("hit").alias("first"))
     return per.agg(F.count(F.lit(1)).alias("cases"), F.avg(F.coalesce((F.col("first") <= 1).cast("double"), F.lit(0.0))).alias("top1"), F.avg(F.coalesce((F.col("first") <= 3).cast("double"), F.lit(0.0))).alias("top3"))
