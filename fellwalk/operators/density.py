@@ -402,8 +402,9 @@ def redistribute_fine(habitat: DataFrame, coarse: DataFrame, k: int = 5) -> Data
 
 def auc(rows: DataFrame, score: str, label: str, buckets: int = 4096) -> DataFrame:
     """Area under the ROC curve with ties counted half; ranks are prefix sums over score buckets."""
-    lo, hi = rows.agg(F.min(score)).scalar(), rows.agg(F.max(score)).scalar()
-    b = F.when(hi > lo, F.least(F.floor((F.col(score) - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).otherwise(0)
+    lo, hi = rows.agg(F.min(score), F.max(score)).first()
+    span = (hi - lo) if lo is not None and hi > lo else 1.0
+    b = F.least(F.floor((F.col(score) - F.lit(lo)) / span * buckets), F.lit(buckets - 1))
     per = rows.groupBy(b.alias("b"), F.col(score).alias("s")).agg(
         F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("neg"))
     tot = per.groupBy("b").agg(F.sum("neg").alias("n"))

@@ -36,7 +36,7 @@ def _(d):
     return N.route_progress_tables(routes(d)).select("route_id", "seq", *[F.round(c, 3).alias(c) for c in ("cum_m", "climb_left", "length_m")])
 
 
-FOLLOW = f"""(SELECT session_id, seq, accuracy, arg_min(along, (o, sg)) AS along, arg_min(len, (o, sg)) AS len, arg_min(climb2, (o, sg)) AS climb, min(o) AS "offset" FROM (SELECT *, cum + t * (c2 - cum) AS along, round(sqrt(pow(qx - t * dx, 2) + pow(qy - t * dy, 2)), 6) AS o FROM (
+FOLLOW = f"""(SELECT session_id, seq, accuracy, arg_min(along, (o, sg)) AS along, arg_min(len, (o, sg)) AS len, arg_min(climb2, (o, sg)) AS climb, min(o) AS offs FROM (SELECT *, cum + t * (c2 - cum) AS along, round(sqrt(pow(qx - t * dx, 2) + pow(qy - t * dy, 2)), 6) AS o FROM (
   SELECT *, greatest(0e0, least(1e0, (qx * dx + qy * dy) / (dx * dx + dy * dy))) AS t FROM (SELECT f.trace_id AS session_id, f.seq, accuracy, s.seq AS sg, cum, c2, climb2, len, (f.lng - s.lng) * mx AS qx, (f.lat - s.lat) * 1.1054e5 AS qy, (x2 - s.lng) * mx AS dx, (y2 - s.lat) * 1.1054e5 AS dy
    FROM (SELECT *, 1.1132e5 * cos(radians(lat)) AS mx FROM v_trace_points) f JOIN (SELECT *, lead(lng) OVER w AS x2, lead(lat) OVER w AS y2, lead(cum) OVER w AS c2, lead(climb) OVER w AS climb2 FROM {PROG} WINDOW w AS (PARTITION BY route_id ORDER BY seq)) s ON s.route_id = f.trace_id + 1 AND x2 IS NOT NULL))) GROUP BY 1, 2, 3)"""
 
@@ -45,12 +45,12 @@ def follow(d):
     return N.follow_route(fixes(d), N.route_progress_tables(routes(d)))
 
 
-@query("follow_route", f"SELECT session_id, seq, round(along, 3) AS along, round(greatest(0e0, len - along), 3) AS remaining, round(climb, 3) AS climb_left, round("offset", 3) AS "offset" FROM {FOLLOW}")
+@query("follow_route", f"SELECT session_id, seq, round(along, 3) AS along, round(greatest(0e0, len - along), 3) AS remaining, round(climb, 3) AS climb_left, round(offs, 3) AS offset_m FROM {FOLLOW}")
 def _(d):
-    return follow(d).select("session_id", "seq", *[F.round(c, 3).alias(c) for c in ("along", "remaining", "climb_left", "offset")])
+    return follow(d).select("session_id", "seq", *[F.round(c, 3).alias(c) for c in ("along", "remaining", "climb_left")], F.round("offset", 3).alias("offset_m"))
 
 
-OFF = f"(SELECT *, row_number() OVER w - coalesce(max(CASE WHEN "offset" <= greatest(45, accuracy * 1.5) THEN rn END) OVER (PARTITION BY session_id ORDER BY seq), 0) >= 3 AS off_route FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM {FOLLOW}) WINDOW w AS (PARTITION BY session_id ORDER BY seq))"
+OFF = f"(SELECT *, row_number() OVER w - coalesce(max(CASE WHEN offs <= greatest(45, accuracy * 1.5) THEN rn END) OVER (PARTITION BY session_id ORDER BY seq), 0) >= 3 AS off_route FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM {FOLLOW}) WINDOW w AS (PARTITION BY session_id ORDER BY seq))"
 
 
 @query("off_route", f"SELECT session_id, seq, off_route FROM {OFF}")
