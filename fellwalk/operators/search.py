@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fellwalk.functions import text as X
 from fellwalk.functions.geo import planar_km, round_half_up
+from fellwalk.operators.fixpoint import cut
 
 # Categories in order, cue words, stop / near / me words.
 CATS = ["city", "town", "village", "district", "peak", "saddle", "ridge", "lake", "river", "waterfall", "spring", "cave", "gorge", "valley", "forest", "meadow",
@@ -103,7 +104,8 @@ def rule_parse(queries: DataFrame, text: str = "query") -> DataFrame:
     vote = lambda c: F.aggregate("_c", F.lit(0.0), lambda acc, a: acc + F.when(F.array_contains(a, c), 1.0 / F.size(a)).otherwise(0.0))
     n = F.size("_c")
     cats = F.transform(F.sequence(F.lit(0), F.lit(36)), lambda c: F.when(n > 0, vote(c) / n).otherwise(F.when(c == 36, 1.0).otherwise(0.0)))
-    return assemble(q.withColumn("cats", cats).drop("_c"))
+    # later filters on the word lists must not be pushed through the nested token expressions
+    return assemble(cut(q.withColumn("cats", cats).drop("_c")))
 
 
 def assemble(parsed: DataFrame) -> DataFrame:
@@ -186,6 +188,7 @@ def expand_tokens(words: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     c = c.withColumn("_r", F.row_number().over(W.partitionBy("word", "typing").orderBy(F.desc("c"), "token"))).where("_r <= 40").select("word", "typing", "token")
     # the two shortlists share one scoring pass over distinct pairs
     fuzzy = pre.withColumn("pre", F.lit(True)).unionByName(c.withColumn("pre", F.lit(False))).groupBy("word", "typing", "token").agg(F.max("pre").alias("pre"))
+    exact = cut(exact.select("word", "typing", "token", "match"))
     fuzzy = fuzzy.join(exact, ["word", "typing", "token"], "left_anti").withColumn("match", X.token_match(F.col("word"), F.col("token")))
     return exact.select("word", "typing", "token", "match").unionByName(fuzzy.where("match > 0").select("word", "typing", "token", "match"))
 
@@ -231,7 +234,7 @@ def word_matches(pairs: DataFrame, names: DataFrame) -> DataFrame:
     pairs(query_id, id, pos, word, last). Distinct token pairs are scored once.
     """
     tok = names.select("id", "idx", F.posexplode("stems").alias("j", "name_stem"))
-    rows = pairs.join(tok, "id")
+    rows = cut(pairs.join(tok, "id"))
     d = rows.select("word", "name_stem").distinct().withColumn("m0", X.token_match(F.col("word"), F.col("name_stem")))
     rows = rows.join(d, ["word", "name_stem"])
     lift = F.col("last") & F.col("name_stem").startswith(F.col("word"))
@@ -271,9 +274,11 @@ def candidates(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFram
 
     parsed(query_id, query, tokens, roles, cats, name, cue, anchor, near_me, focus_lng, focus_lat).
     """
-    p = top_cats(content_words(parsed)).withColumn("typing", ~F.col("query").rlike(r"\s$"))
+    # the parsed queries feed many branches: compute them once
+    p = cut(top_cats(content_words(parsed)).withColumn("typing", ~F.col("query").rlike(r"\s$")))
     a = resolve_anchor(p, index, entries).join(entries.select(F.col("id").alias("anchor_id"), F.col("lng").alias("a_lng"), F.col("lat").alias("a_lat"), F.col("cat").alias("a_cat")), "anchor_id")
     p = p.join(a, "query_id", "left").withColumn("match", F.when(F.size("name") > 0, F.col("name")).otherwise(F.col("cue")))
+    p = cut(p)
     hits = retrieve(_words(p, "match", F.col("typing")), index, entries)
     extra = p.where(F.size("content") > F.size("match"))
     net = retrieve(_words(extra, "content", F.col("typing")), index, entries, 200).withColumn("retrieval", F.col("retrieval") * 0.8)

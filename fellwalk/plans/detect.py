@@ -235,14 +235,6 @@ def _(d):
     return _scores(d)[1].select(*X.KEY, F.round("score", 6).alias("score"))
 
 
-@query("detect_from_probability")
-def _(d):
-    g, s = _scores(d)
-    lines, info = X.detect_from_probability(cut(s), cut(g), scans(d), way_segments(d), way_lines(d).select("node_id", "lng", "lat"), 0.6)
-    n = lines.groupBy("chain").agg(F.count(F.lit(1)).alias("vertices"))
-    return info.join(n, "chain").select("chain", F.round("length_m", 2).alias("length_m"), F.round("confidence", 6).alias("confidence"), "vertices")
-
-
 @query("align_ways")
 def _(d):
     k = F.col("s_suppkey")

@@ -168,37 +168,12 @@ def _(d):
     return S.browse(q, "query_id", d.places, [4, 7, 16]).select("query_id", "id", "score", "rank")
 
 
-def _ranked(d):
-    e, ix = _index(d)
-    c, p = S.candidates(S.rule_parse(queries(d)), ix, e)
-    from fellwalk.operators.fixpoint import cut
-    return e, ix, cut(c), cut(p)
-
-
 @query("resolve_anchor")
 def _(d):
     e, ix = _index(d)
     return S.resolve_anchor(S.rule_parse(queries(d)), ix, e)
 
 
-@query("candidates")
-def _(d):
-    _, _, c, _ = _ranked(d)
-    return c.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.round(F.max("retrieval"), 6).alias("best"))
-
-
-@query("ranking_features")
-def _(d):
-    e, ix, c, p = _ranked(d)
-    return S.ranking_features(c, p, ix, e).select("query_id", "id", "cat", *[F.round(f, 6).alias(f) for f in S.FEATURES])
-
-
-@query("search")
-def _(d):
-    e, ix, c, p = _ranked(d)
-    return S.rank_results(S.heuristic_score(S.ranking_features(c, p, ix, e)), e).select("query_id", "id", "rank", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
-
-
 _PSEUDO = [(f, i) for i, f in enumerate(S.FEATURES)]
 
 
