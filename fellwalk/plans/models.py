@@ -9,6 +9,7 @@ from fellwalk.operators import density as D
 from fellwalk.operators import gazetteer as G
 from fellwalk.operators import models as M
 from fellwalk.operators import search as S
+from fellwalk.operators.fixpoint import cut
 from fellwalk.plans.density import land
 from fellwalk.plans.geo import supplier_points
 from fellwalk.plans.registry import query
@@ -35,7 +36,7 @@ def _(d):
 
 
 def _speed_rows(d):
-    return training_rows(d).withColumn("region", F.concat(F.lit("r"), (F.col("trace_id") % 12).cast("string")))
+    return cut(training_rows(d).withColumn("region", F.concat(F.lit("r"), (F.col("trace_id") % 12).cast("string"))))
 
 
 @query("holdout_eval")

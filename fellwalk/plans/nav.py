@@ -144,9 +144,9 @@ def _(d):
 
 @query("live_heat_stream")
 def _(d):
-    return _stream(d, L.live_heat, "heat").select(F.unix_timestamp("start").alias("start"), "cx", "cy", "fixes")
+    return _stream(d, lambda f: L.live_heat(f, 0.001, "10 seconds", "0 seconds"), "heat").select(F.unix_timestamp("start").alias("start"), "cx", "cy", "fixes")
 
 
 @query("sessionize_stream")
 def _(d):
-    return _stream(d, L.sessionize, "sessions").select("session_id", F.unix_timestamp("start").alias("start"), "fixes")
+    return _stream(d, lambda f: L.sessionize(f, "30 seconds", "0 seconds"), "sessions").select("session_id", F.unix_timestamp("start").alias("start"), "fixes")
