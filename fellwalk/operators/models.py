@@ -68,6 +68,8 @@ def holdout_eval(rows: DataFrame, min_train: int = MIN_TRAIN, min_test: int = MI
             e = m.join(upper_median(s, ["mode"], "t0", "time_error_expert"), "mode").join(upper_median(s, ["mode"], "t1", "time_error_learned"), "mode")
         e = e.withColumns({"train": F.lit(n_tr), "test": F.lit(n_te)})
         out = e if out is None else out.unionByName(e)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], "mode string, mae_expert double, mae_learned double, time_error_expert double, time_error_learned double, train int, test int")
     return out.withColumn("ship", F.coalesce(F.col("mae_learned") < F.col("mae_expert"), F.lit(False)))
 
 

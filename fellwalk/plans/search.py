@@ -270,7 +270,3 @@ def _(d):
     return _model(d).select("query_id", F.array_join("roles", " ").alias("roles"), F.round(F.array_max("cats"), 6).alias("top"))
 
 
-@query("reconcile_parse")
-def _(d):
-    r = S.reconcile_parse(_model(d), S.rule_parse(queries(d)), "query_id")
-    return r.select("query_id", F.array_join("roles", " ").alias("roles"), F.round(F.array_max("cats"), 6).alias("top"))
