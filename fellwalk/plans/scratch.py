@@ -1,13 +1,13 @@
-"""A fresh folder per run for round-trip queries, in the shared checkpoint folder where one is set."""
+"""A fresh folder per run for round-trip queries, in the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from fellwalk.operators.fixpoint import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
