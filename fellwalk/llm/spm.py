@@ -100,7 +100,11 @@ class Transducer:
         self.longest = max(map(len, self.ids), default=1)
         self.dearest = -min((s for _, s, k in self.pieces if k == NORMAL), default=0.0)
         self.known: dict[str, bytes] = {}
-        self.pair = lru_cache(REMEMBERED)(self._pair)
+        self.pairs: dict[int, bool] = {}
+        self.splits: dict[int, tuple[int, int]] = {}
+        self.arcs = self.ids
+        if self.kind == BPE:
+            self.compile_merges()
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -109,9 +113,9 @@ class Transducer:
             return ""
         return (MARK if self.prefix else "") + text.replace(" ", MARK)
 
-    def merged(self, s: str) -> list[str]:
-        """Byte-pair merging of one short string: best score first, then leftmost."""
-        parts = list(s)
+    def merged(self, s: str) -> tuple[list[str], list[int]]:
+        """Byte-pair merging of one short string, best score first, then leftmost: the parts, and the two ids of the last merge."""
+        parts, last = list(s), []
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -119,54 +123,104 @@ class Transducer:
                 if k is not None and (best is None or self.pieces[k][1] > best):
                     best, at = self.pieces[k][1], i
             if best is None:
-                return parts
+                return parts, last
+            last = [self.ids.get(parts[at], -1), self.ids.get(parts[at + 1], -1)]
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def _pair(self, a: str, b: str) -> bool:
-        """Whether a and b stay as they are when they stand next to each other."""
-        return self.merged(a + b) == ([a, b] if a else [b])
+    def compile_merges(self) -> None:
+        """Keeps the pieces that merging their own characters gives, and the last merge of each."""
+        self.arcs = {}
+        for p, k in self.ids.items():
+            parts, last = self.merged(p)
+            if parts == [p]:
+                self.arcs[p] = k
+                if last and -1 not in last:
+                    self.splits[k] = (last[0], last[1])
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether the pieces a and b stay as they are when they stand next to each other.
+
+        Merges are undone from the latest back, on the sides that meet: if a merge across the border
+        would have come before the one that was undone last, the pair is not stable.
+        """
+        pieces = self.pieces
+        if MARK in pieces[a][0] and MARK in pieces[b][0]:  # runs of marks have equal scores: merge them
+            return self.merged(pieces[a][0] + pieces[b][0])[0] == [pieces[a][0], pieces[b][0]]
+        limit, left = float("-inf"), False  # score and side of the merge undone last
+        while True:
+            k = self.ids.get(pieces[a][0] + pieces[b][0])
+            if k is not None and (pieces[k][1] > limit or pieces[k][1] == limit and not left):
+                return False
+            sa = pieces[a][1] if a in self.splits else float("inf")
+            sb = pieces[b][1] if b in self.splits else float("inf")
+            if sa == sb == float("inf"):
+                return True
+            if sa < sb:
+                limit, left, a = sa, True, self.splits[a][1]
+            else:  # of equal merges the left one comes first, so the right one is undone first
+                limit, left, b = sb, False, self.splits[b][0]
 
     def path(self, word: str) -> list[str]:
         """Pieces (or single unknown characters) on the shortest path through the lattice of a word."""
-        n, ids = len(word), self.ids
-        cost: list[float] = [0.0] + [float("inf")] * n
-        last = [""] * (n + 1)
+        n, arcs = len(word), self.arcs
         if self.kind == BPE:
-            if word in ids and self.merged(word) == [word]:
+            if word in arcs:
                 return [word]
+            pairs = self.pairs
+            lengths = sorted(range(1, min(n, self.longest) + 1), key=lambda x: abs(x - 2.8))  # one fits at most; the usual ones first
+            last = [-2] * (n + 1)  # the piece on the path to each place; -1: an unknown character
+            back = [0] * (n + 1)
             for end in range(1, n + 1):
-                for start in range(max(0, end - self.longest), end):
-                    if cost[start]:
+                for length in lengths:
+                    start = end - length
+                    if start < 0:
                         continue
-                    p = word[start:end]
-                    if (p in ids or end - start == 1) and (start == 0 or self.pair(last[start], p)) and (end - start == 1 or self.whole(p)):
-                        cost[end], last[end] = 0.0, p
-                        break
-        else:
-            for end in range(1, n + 1):
-                for start in range(max(0, end - self.longest), end):
-                    p = word[start:end]
-                    k = ids.get(p)
-                    c = cost[start] + (-self.pieces[k][1] if k is not None else self.dearest + FALLBACK if end - start == 1 else float("inf"))
-                    if c < cost[end]:
-                        cost[end], last[end] = c, p
+                    k = arcs.get(word[start:end])
+                    if k is None:
+                        continue
+                    if start:
+                        before = last[start]
+                        if before == -2:
+                            continue
+                        if before >= 0:
+                            key = before << 32 | k
+                            good = pairs.get(key)
+                            if good is None:
+                                if len(pairs) >= REMEMBERED:
+                                    pairs.clear()
+                                good = pairs[key] = self.apart(before, k)
+                            if not good:
+                                continue
+                    last[end], back[end] = k, start
+                    break
+                else:
+                    if word[end - 1] not in arcs:
+                        last[end], back[end] = -1, end - 1
+            out, at = [], n
+            while at:
+                if last[at] == -2:
+                    raise ValueError(f"no path through {word!r}")
+                out.append(word[back[at]:at])
+                at = back[at]
+            return out[::-1]
+        cost, step = [0.0] + [float("inf")] * n, [0] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.longest), end):
+                k = arcs.get(word[start:end])
+                c = cost[start] + (-self.pieces[k][1] if k is not None else self.dearest + FALLBACK if end - start == 1 else float("inf"))
+                if c < cost[end]:
+                    cost[end], step[end] = c, start
         out, at = [], n
         while at:
-            if not last[at]:
-                raise ValueError(f"no path through {word!r}")
-            out.append(last[at])
-            at -= len(last[at])
+            out.append(word[step[at]:at])
+            at = step[at]
         return out[::-1]
 
-    def whole(self, p: str) -> bool:
-        """Whether merging a piece's own characters gives the piece."""
-        return self.pair("", p)
-
     def word_ids(self, word: str) -> bytes:
         """Little-endian 32-bit ids of one word."""
         out: list[int] = []
         for p in self.path(word):
-            k = self.ids.get(p)
+            k = self.arcs.get(p)
             if k is not None:
                 out.append(k)
             elif self.bytes:
