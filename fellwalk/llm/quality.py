@@ -129,7 +129,7 @@ def beta_prior(hosts: int, docs: int | None, squares: float | None, failures: in
 
 
 def judged(docs: DataFrame, keep: list[str], host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """`keep`, `_m`, base_failed and kept for every row."""
+    """`keep`, `_m`, `_base_failed` and `_kept` for every row."""
     cols = list(dict.fromkeys([*keep, host]))
     rows = with_measures(docs, cols)
     if "text" not in cols:  # small rows are kept; texts are measured twice instead of written
@@ -138,14 +138,14 @@ def judged(docs: DataFrame, keep: list[str], host: str = "source", limit: float
     bad = host_verdicts(skinny, host, limit).where("NOT host_kept").select(F.col("host").alias("_host"))
     base = F.expr(" OR ".join(f"({RULES[r]})" for r in ("few_words", "repeats")).replace("n_", "_m.n_"))
     return (rows.join(bad.withColumn("_bad", F.lit(True)), F.col(host).eqNullSafe(F.col("_host")), "left")
-            .select(*[F.col(f"`{c}`") for c in keep], "_m", base.alias("base_failed"), (~base & F.col("_bad").isNull()).alias("kept")))
+            .select(*[F.col(f"`{c}`") for c in keep], "_m", base.alias("_base_failed"), (~base & F.col("_bad").isNull()).alias("_kept")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, kept."""
-    return judged(docs, ["doc_id"]).select("doc_id", "_m.*", "base_failed", "kept")
+    return judged(docs, ["doc_id"]).select("doc_id", "_m.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep."""
-    return judged(docs, docs.columns).where("kept").select(docs.columns)
+    return judged(docs, docs.columns).where("_kept").select(docs.columns)

@@ -217,8 +217,8 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """
     ids = near_groups(docs, **kw).where("doc_id = component_id").select(F.col("component_id").alias("_id")).distinct()
     kept = docs.withColumn("_id", order_id()).join(ids, "_id", "left_semi")
-    repeated = cut(docs.groupBy(order_id().alias("_id")).agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("h")).where("n > 1"))
+    repeated = cut(docs.groupBy(order_id().alias("_id")).agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_h")).where("_n > 1"))
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(repeated, "_id", "left").where(F.col("n").isNull() | (F.xxhash64("text") == F.col("h")))
+    once = kept.join(repeated, "_id", "left").where(F.col("_n").isNull() | (F.xxhash64("text") == F.col("_h")))
     return once.dropDuplicates(["_id"]).select(docs.columns)
