@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fellwalk.llm.common import partitions
+from fellwalk.llm.common import LAST_ID, order_id, partitions
 from fellwalk.operators.fixpoint import cut
 
 K = 128
@@ -100,16 +100,18 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     What a document needs of the next one, the start of the text and the sketch, is made where the next
     one's text is and sent to the id before it, so whole texts are shuffled once.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # ids are never null here, so that both joins want the same exchange of the texts
+    rows = docs.select(order_id().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = cut(next_ids(docs))
     first = order.agg(F.min("doc_id").alias("first")).first()["first"]
     need = rows.groupBy("doc_id").agg(F.max(F.expr("length(text) div 4")).alias("need"))
-    wanted = need.join(order, "doc_id", "left").select(F.col("doc_id").alias("prev"), F.coalesce("next_id", F.lit(first).cast("long")).alias("doc_id"), "need")
+    after = F.coalesce("next_id", F.lit(LAST_ID if first is None else first).cast("long"))
+    wanted = need.join(order, "doc_id", "left").select(F.col("doc_id").alias("prev"), after.alias("doc_id"), "need")
     sent = rows.join(wanted, "doc_id").select("prev", F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, need)").alias("start"), sketch(F.col("text"), k).alias("sketch")).alias("s"))
     sent = sent.groupBy("prev").agg(F.min("s").alias("s"))
     n = "length(text) div 4"
-    return rows.join(sent, rows["doc_id"].eqNullSafe(sent["prev"]), "left").select(
-        "doc_id", "text", F.expr(f"concat(left(text, length(text) - {n}), left(coalesce(s.start, ''), {n}))").alias("edited"),
+    return rows.join(sent, rows["doc_id"] == sent["prev"], "left").select(
+        F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text", F.expr(f"concat(left(text, length(text) - {n}), left(coalesce(s.start, ''), {n}))").alias("edited"),
         F.coalesce(F.col("s.sketch"), F.array().cast("array<bigint>")).alias("next_sketch"))
 
 
