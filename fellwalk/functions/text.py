@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Accented Latin letters and their base letters, by canonical decomposition.
-_PAIRS = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if "a" <= unicodedata.normalize("NFD", chr(c))[0] <= "z" and chr(c).islower()]
+_PAIRS = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if "a" <= unicodedata.normalize("NFD", chr(c))[0] <= "z" and chr(c).islower()]
 
 # Inflected forms of common place words, number words, filler words.
 LEMMA_FORMS = {

@@ -14,20 +14,41 @@ CATS = ["city", "town", "village", "district", "peak", "saddle", "ridge", "lake"
         "hut", "camp", "lodging", "viewpoint", "attraction", "castle", "monument", "church", "park", "ski", "food", "station", "parking", "shop", "health", "sport",
         "trail", "path", "street", "other"]
 CUES = {
-    "city": "oras municipiu city centru", "town": "oras town statiune", "village": "sat comuna village localitate", "district": "cartier district neighbourhood zona",
-    "peak": "varf vf peak summit pisc munte mount top deal mountain", "saddle": "sa pas pass col trecatoare", "ridge": "creasta ridge culme abrupt perete stanca colt cliff rock",
-    "lake": "lac lake tau iezer balta baraj reservoir tarn pond", "river": "rau parau river stream creek", "waterfall": "cascada waterfall falls saritoare",
-    "spring": "izvor spring fantana apa water cismea", "cave": "pestera cave aven grota cavern", "gorge": "chei canion gorge canyon defileu", "valley": "vale valley",
-    "forest": "padure forest woods codru", "meadow": "poiana meadow pajiste livada", "hut": "cabana refugiu hut shelter adapost stana cottage chalet",
-    "camp": "camping campare camp campsite cort tent", "lodging": "hotel pensiune hostel motel vila cazare accommodation sleep dormit guesthouse",
-    "viewpoint": "belvedere viewpoint view panorama priveliste lookout", "attraction": "muzeu museum zoo atractie attraction obiectiv turistic",
-    "castle": "castel cetate citadel fortress castle bastion turn fortareata fort", "monument": "monument ruine ruina memorial statuie ruins",
-    "church": "biserica manastire schit catedrala church monastery cathedral templu", "park": "parc park rezervatie reserve gradina garden",
-    "ski": "partie ski schi telecabina telegondola telescaun teleschi gondola slope", "food": "restaurant cafenea cafe pizza mancare food bar pub terasa eat coffee",
-    "station": "gara station autogara statie train tren bus", "parking": "parcare parking", "shop": "magazin supermarket mall shop store market",
-    "health": "spital farmacie hospital pharmacy salvamont clinica urgenta", "sport": "stadion piscina bazin pool patinoar sala stadium swim inot climbing catarare",
-    "trail": "traseu trail poteca marcaj hike hiking drumetie route banda cruce punct triunghi", "path": "poteca drum path track forestier trail",
-    "street": "strada str bulevard bd calea aleea soseaua piata street avenue road",
+    "city": ["oras", "orasul", "municipiu", "city", "town centre", "centru", "centrul"],
+    "town": ["oras", "town", "statiune"],
+    "village": ["sat", "satul", "comuna", "village", "localitate", "villages"],
+    "district": ["cartier", "cartierul", "district", "neighbourhood", "neighborhood", "zona"],
+    "peak": ["varf", "varful", "vf", "peak", "summit", "pisc", "munte", "mount", "top", "deal", "peaks", "mountains"],
+    "saddle": ["sa", "saua", "pas", "pasul", "pass", "col", "trecatoare"],
+    "ridge": ["creasta", "ridge", "culme", "culmea", "abrupt", "perete", "stanca", "colt", "cliff", "rock"],
+    "lake": ["lac", "lacul", "lake", "tau", "iezer", "balta", "baraj", "reservoir", "tarn", "pond", "lakes"],
+    "river": ["rau", "raul", "parau", "paraul", "river", "stream", "creek", "rivers"],
+    "waterfall": ["cascada", "waterfall", "falls", "cascade", "saritoare", "waterfalls"],
+    "spring": ["izvor", "izvorul", "spring", "fantana", "apa", "water", "cismea", "springs"],
+    "cave": ["pestera", "cave", "aven", "grota", "cavern", "caves"],
+    "gorge": ["chei", "cheile", "canion", "canionul", "gorge", "canyon", "defileu", "gorges", "canyons"],
+    "valley": ["vale", "valea", "valley"],
+    "forest": ["padure", "padurea", "forest", "woods", "codru"],
+    "meadow": ["poiana", "meadow", "pajiste", "livada"],
+    "hut": ["cabana", "refugiu", "refugiul", "hut", "shelter", "adapost", "stana", "cottage", "huts", "refuges", "chalets"],
+    "camp": ["camping", "campare", "camp", "campsite", "cort", "tent", "campsites"],
+    "lodging": ["hotel", "pensiune", "pensiunea", "hostel", "motel", "vila", "cazare", "accommodation", "sleep", "dormit", "hotels", "guesthouses"],
+    "viewpoint": ["belvedere", "viewpoint", "view", "panorama", "priveliste", "lookout", "viewpoints"],
+    "attraction": ["muzeu", "museum", "zoo", "atractie", "attraction", "obiectiv", "turistic"],
+    "castle": ["castel", "castelul", "cetate", "cetatea", "citadel", "fortress", "castle", "bastion", "turn", "fortareata", "fort", "castles", "fortresses"],
+    "monument": ["monument", "ruine", "ruina", "memorial", "statuie", "ruins"],
+    "church": ["biserica", "manastire", "schit", "catedrala", "church", "monastery", "cathedral", "templu", "churches", "monasteries"],
+    "park": ["parc", "parcul", "park", "rezervatie", "reserve", "gradina", "garden", "national park", "parks"],
+    "ski": ["partie", "ski", "schi", "telecabina", "telegondola", "telescaun", "teleschi", "gondola", "cable car", "slope", "slopes"],
+    "food": ["restaurant", "cafenea", "cafe", "pizza", "mancare", "food", "bar", "pub", "terasa", "eat", "coffee", "restaurants", "cafes"],
+    "station": ["gara", "station", "autogara", "statie", "train", "tren", "bus"],
+    "parking": ["parcare", "parking", "car park"],
+    "shop": ["magazin", "supermarket", "mall", "shop", "store", "market"],
+    "health": ["spital", "farmacie", "hospital", "pharmacy", "salvamont", "clinica", "urgenta"],
+    "sport": ["stadion", "piscina", "bazin", "pool", "patinoar", "sala", "stadium", "swim", "inot", "climbing", "catarare"],
+    "trail": ["traseu", "traseul", "trail", "poteca", "marcaj", "hike", "hiking", "drumetie", "route", "banda", "cruce", "punct", "triunghi", "trails", "hikes"],
+    "path": ["poteca", "drum", "drumul", "path", "track", "forestier", "trail"],
+    "street": ["strada", "str", "bulevard", "bulevardul", "bd", "calea", "aleea", "soseaua", "piata", "street", "avenue", "road"],
 }
 STOP = "de la din cu si al a ale lui pe the of to and in at on for unde e este where is how get go show find me my vreau merg catre spre".split()
 NEAR = "langa aproape near around by la in din from linga zona spre".split()
@@ -36,17 +57,9 @@ NOT_GENERIC = "centru top apa zona turistic national bus train".split()
 GENERIC_EXTRA = "de la din lui si cu mare mic mica vf sf nr".split()
 PLACE_BONUS = {"city": 3.0, "town": 2.5, "village": 1.2, "district": 1.5, "park": 1.5, "ridge": 1.0, "peak": 1.0, "lake": 1.0, "street": -3.0}
 SETTLEMENTS = ["city", "town", "village", "district"]
-HEAVY_POSTING, N_RETRIEVE = 20000, 400
 HOME = (25.5887, 45.6427)
-
-
-def _plurals(word: str) -> list[str]:
-    """Plain English plural forms, so that "lakes" and "passes" are cues as well."""
-    if word.endswith(("s", "sh", "ch")):
-        return [word, word + "es"]
-    if word.endswith("y") and len(word) > 3 and word[-2] not in "aeiou":
-        return [word, word[:-1] + "ies"]
-    return [word, word + "s"]
+#: Parts of a posting list.
+SALTS = 16
 
 
 def _py_stem(t: str) -> str:
@@ -62,14 +75,13 @@ def _py_stem(t: str) -> str:
     return t[:-4] if t.endswith("ilor") and len(t) > 6 else t
 
 
+# Cues of one word vote for a category; every word of a cue is too common to name a place.
 CUE_CATS: dict[str, list[int]] = {}
-for _cat, _words in CUES.items():
-    for _w in _words.split():
-        for _p in _plurals(_w):
-            CUE_CATS.setdefault(_py_stem(_p), [])
-            if CATS.index(_cat) not in CUE_CATS[_py_stem(_p)]:
-                CUE_CATS[_py_stem(_p)].append(CATS.index(_cat))
-GENERIC = sorted((set(CUE_CATS) | set(GENERIC_EXTRA)) - set(NOT_GENERIC))
+for _cat, _cues in CUES.items():
+    for _cue_word in _cues:
+        if " " not in _cue_word and CATS.index(_cat) not in CUE_CATS.setdefault(_py_stem(_cue_word), []):
+            CUE_CATS[_py_stem(_cue_word)].append(CATS.index(_cat))
+GENERIC = sorted(({_py_stem(w) for cues in CUES.values() for c in cues for w in c.split()} | set(GENERIC_EXTRA)) - set(NOT_GENERIC))
 
 
 def is_generic(stem: Column) -> Column:
@@ -179,34 +191,33 @@ def expand_tokens(words: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     exact = w.select("word", "typing", F.explode(F.array_distinct(F.array("stem", "word"))).alias("token")).join(vocab, "token", "left_semi").withColumn("match", F.lit(1.0))
     pw = w.where((F.length("word") >= 2) & (F.col("typing") | (F.length("word") >= 3))).withColumn("p2", F.left("word", F.lit(2)))
     pre = pw.join(vocab.withColumn("p2", F.left("token", F.lit(2))), "p2").where(F.col("token").startswith(F.col("word")))
-    rank = F.row_number().over(W.partitionBy("word", "typing").orderBy("token"))
-    pre = pre.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("typing"), 60).otherwise(20)).select("word", "typing", "token")
+    pre = pre.select("word", "typing", "token")
     tw = w.where(F.length("word") >= 4).select("word", "typing", X.trigrams(F.col("word")).alias("g"))
     grams = tw.select("word", "typing", F.size("g").alias("qn"), F.explode("g").alias("gram"))
     c = grams.join(index["trigrams"], "gram").groupBy("word", "typing", "qn", "token").agg(F.count(F.lit(1)).alias("c"))
-    c = c.where((F.col("c") >= F.greatest(F.lit(2), F.col("qn") * 0.35)) & (F.abs(F.length("token") - F.length("word")) <= 3))
-    c = c.withColumn("_r", F.row_number().over(W.partitionBy("word", "typing").orderBy(F.desc("c"), "token"))).where("_r <= 40").select("word", "typing", "token")
-    # the two shortlists share one scoring pass over distinct pairs
+    c = c.where((F.col("c") >= F.greatest(F.lit(2), F.col("qn") * 0.35)) & (F.abs(F.length("token") - F.length("word")) <= 3)).select("word", "typing", "token")
+    # the two lists share one scoring pass over distinct pairs
     fuzzy = pre.withColumn("pre", F.lit(True)).unionByName(c.withColumn("pre", F.lit(False))).groupBy("word", "typing", "token").agg(F.max("pre").alias("pre"))
     exact = cut(exact.select("word", "typing", "token", "match"))
     fuzzy = fuzzy.join(exact, ["word", "typing", "token"], "left_anti").withColumn("match", X.token_match(F.col("word"), F.col("token")))
     return exact.select("word", "typing", "token", "match").unionByName(fuzzy.where("match > 0").select("word", "typing", "token", "match"))
 
 
-def retrieve(qwords: DataFrame, index: dict[str, DataFrame], entries: DataFrame, limit: int = N_RETRIEVE, typing_last: bool = True) -> DataFrame:
-    """Best entries per query by summed match x max(1, idf). qwords(query_id, pos, word, last) -> query_id, id, retrieval."""
+def retrieve(qwords: DataFrame, index: dict[str, DataFrame], entries: DataFrame, typing_last: bool = True) -> DataFrame:
+    """All entries that a query's words reach, by summed match x max(1, idf). qwords(query_id, pos, word, last) -> query_id, id, retrieval."""
     qw = qwords.select("query_id", "pos", "word", (F.col("last") if typing_last else F.lit(False)).alias("typing"))
     ex = expand_tokens(qw.select("word", "typing"), index)
     vocab = index["vocab"]
     total = entries.agg(F.count(F.lit(1))).scalar()
     weight = qw.withColumn("token", X.stem(F.col("word"))).join(vocab, "token", "left").withColumn("w", F.greatest(F.lit(1.0), idf(total, F.col("df")))).select("query_id", "pos", "word", "typing", "w")
-    light = index["postings"].join(vocab.where(F.col("df") <= HEAVY_POSTING).select("token"), "token", "left_semi")
+    # a word of very many entries has a long posting list: its rows are dealt by a salt of the entry
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    postings = index["postings"].withColumn("salt", salt)
+    ex = ex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     # entries per distinct word first, so repeated words of a query log share the posting join
-    per_word = ex.join(light, "token").groupBy("word", "typing", "id").agg(F.max("match").alias("m"))
+    per_word = ex.join(postings, ["token", "salt"]).groupBy("word", "typing", "id").agg(F.max("match").alias("m"))
     hits = weight.join(per_word, ["word", "typing"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("m") * F.col("w")), 9).alias("retrieval"))
-    r = hits.join(entries.select("id", "imp"), "id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("retrieval"), F.desc("imp"), "id"))
-    return r.withColumn("_r", rank).where(F.col("_r") <= limit).select("query_id", "id", "retrieval")
+    return hits.join(entries.select("id"), "id", "left_semi").select("query_id", "id", "retrieval")
 
 
 def near(points: DataFrame, key: str, entries: DataFrame, km: float) -> DataFrame:
@@ -257,7 +268,7 @@ def _words(parsed: DataFrame, col: str, typing: Column | None = None) -> DataFra
 def resolve_anchor(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
     """(query_id, anchor_id) of the place named by the anchor words. parsed has focus_lng, focus_lat."""
     w = _words(parsed.where(F.size("anchor") > 0), "anchor", F.lit(False))
-    r = retrieve(w, index, entries, 200, typing_last=False)
+    r = retrieve(w, index, entries, typing_last=False)
     cov = coverage(r.join(w, "query_id"), index["names"])
     cat = F.get(F.array(*[F.lit(c) for c in CATS]), F.col("cat"))
     bonus = F.lit(0.0)
@@ -281,7 +292,7 @@ def candidates(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFram
     p = cut(p)
     hits = retrieve(_words(p, "match", F.col("typing")), index, entries)
     extra = p.where(F.size("content") > F.size("match"))
-    net = retrieve(_words(extra, "content", F.col("typing")), index, entries, 200).withColumn("retrieval", F.col("retrieval") * 0.8)
+    net = retrieve(_words(extra, "content", F.col("typing")), index, entries).withColumn("retrieval", F.col("retrieval") * 0.8)
     wants = ((F.size("name") == 0) & (F.size("cue") > 0)) | ((F.col("anchor_id").isNotNull() | F.col("near_me")) & (F.size("top_cats") > 0))
     b = p.where(wants).select("query_id", F.coalesce("a_lng", "focus_lng").alias("lng"), F.coalesce("a_lat", "focus_lat").alias("lat"), "top_cats", F.col("a_cat").isin(CATS.index("city"), CATS.index("park")).alias("wide"))
     found = near(b.where("wide"), "query_id", entries, 30).unionByName(near(b.where(~F.coalesce("wide", F.lit(False))), "query_id", entries, 20))

@@ -87,12 +87,13 @@ def union_detected(trails: DataFrame, detected: DataFrame, source: str) -> DataF
     return trails.where(F.col("source") != source).unionByName(detected, allowMissingColumns=True)
 
 
-def trails_in_view(trails: DataFrame, cells: DataFrame, views: DataFrame, kinds: list[str], max_cells: int = 16,
+def trails_in_view(trails: DataFrame, cells: DataFrame, views: DataFrame, kinds: list[str], max_cells: int | None = None,
                    z: int = 11) -> DataFrame:
-    """view_id, way_id of the visible kinds; views over more than `max_cells` cells show nothing."""
-    tiles = S.explode_tiles(views, F.lit(z), F.lit(z)).select("view_id", "x", "y")
-    n = tiles.groupBy("view_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_cells).select("view_id")
-    small = tiles.join(n, "view_id")
+    """view_id, way_id of the visible kinds. With `max_cells`, a display rule, views over more cells show nothing."""
+    small = S.explode_tiles(views, F.lit(z), F.lit(z)).select("view_id", "x", "y")
+    if max_cells is not None:
+        n = small.groupBy("view_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_cells).select("view_id")
+        small = small.join(n, "view_id")
     shown = trails.where(F.col("kind").isin(*kinds)).select("way_id", "kind")
     return small.join(cells.select("way_id", "x", "y"), ["x", "y"]).join(shown, "way_id").select(
         "view_id", "way_id", "kind").distinct()

@@ -80,7 +80,7 @@ def _(d):
 _CELLS_SQL = f"""
 WITH j AS (SELECT node_id FROM v_way_vertices GROUP BY node_id HAVING count(*) > 1),
 v AS (SELECT way_id, seq, node_id, floor(lng * 1e6 + 5e-1) AS x, floor(lat * 1e6 + 5e-1) AS y, max(seq) OVER (PARTITION BY way_id) AS last FROM {WAY_POINTS_SQL})
-SELECT v.way_id, count(*) AS vertices, CAST(sum(CASE WHEN j.node_id IS NOT NULL OR seq = 0 OR seq = last THEN v.node_id ELSE -(way_id * 4096 + seq + 1) END) AS BIGINT) AS node_sum,
+SELECT v.way_id, count(*) AS vertices, CAST(sum(CASE WHEN j.node_id IS NOT NULL OR seq = 0 OR seq = last THEN v.node_id ELSE -(way_id * 16777216 + seq + 1) END) AS BIGINT) AS node_sum,
   round(sum(x / 1e6), 6) AS lng_sum, round(sum(y / 1e6), 6) AS lat_sum FROM v LEFT JOIN j ON j.node_id = v.node_id GROUP BY v.way_id"""
 
 
@@ -95,7 +95,7 @@ def _(d):
 
 
 @query("read_cell_documents", f"""
-SELECT way_id, seq, CASE WHEN seq % 2 = 0 THEN node_id ELSE -(way_id * 4096 + seq + 1) END AS node_id, round(lng, 6) AS lng, round(lat, 6) AS lat FROM {WAY_POINTS_SQL}""")
+SELECT way_id, seq, CASE WHEN seq % 2 = 0 THEN node_id ELSE -(way_id * 16777216 + seq + 1) END AS node_id, round(lng, 6) AS lng, round(lat, 6) AS lat FROM {WAY_POINTS_SQL}""")
 def _(d):
     w = _way_arrays(d)
     xs = F.transform("v", lambda p: F.floor(p["lng"] * 1e6 + 0.5))

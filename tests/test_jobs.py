@@ -224,3 +224,29 @@ def test_recording_keeps_distance(spark):
     rows = [(1, i, 25.0 + i * 2e-5, 45.0, 10.0 if i != 3 else 80.0, i) for i in range(20)]
     got = nav.record_tracks(spark.createDataFrame(rows, "session_id bigint, seq int, lng double, lat double, accuracy double, t_s int")).orderBy("seq").collect()
     assert got[0].seq == 0 and all(r.dist_m >= 5 for r in got[1:]) and all(r.seq != 3 for r in got)
+
+
+def test_fold_covers_additional_latin_letters(spark):
+    from fellwalk.functions import text as X
+    rows = spark.createDataFrame([("Phố Huế",), ("Ḥamā",), ("Großer Ḇ-ẞ",), ("Țara Bârsei",)], "t string").select(X.fold(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in rows][:2] == ["pho hue", "hama"] and rows[3]["f"] == "tara barsei"
+
+
+def test_every_cue_word_votes_for_its_categories(spark):
+    from fellwalk.operators import search as S
+    words = sorted({(w, c) for c, cues in S.CUES.items() for w in cues if " " not in w})
+    q = spark.createDataFrame([(i, w) for i, (w, _) in enumerate(words)], "query_id long, query string")
+    got = {r["query"]: (r["roles"], r["cats"]) for r in S.rule_parse(q).collect()}
+    for w, c in words:
+        roles, cats = got[w]
+        assert roles == ["cue"] and cats[S.CATS.index(c)] > 0, w
+    for w in ("fallses", "cheis", "parties", "lakeses"):
+        assert w not in S.CUE_CATS
+
+
+def test_long_posting_lists_are_searched(spark):
+    from fellwalk.operators import search as S
+    entries = spark.range(25_000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("Varna Gradec "), F.col("id").cast("string")).alias("name"), F.array().cast("array<string>").alias("alt"), F.lit(2).alias("cat"), F.lit(1.0).alias("imp"))
+    ix = S.build_search_index(entries)
+    words = spark.createDataFrame([(1, 0, "gradec", True)], "query_id long, pos int, word string, last boolean")
+    assert S.retrieve(words, ix, entries).count() == 25_000
