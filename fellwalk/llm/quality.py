@@ -23,11 +23,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from fellwalk.llm.common import BLANKS, text_bytes
 from fellwalk.operators.fixpoint import cut
+from fellwalk.plans.scratch import scratch
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: A host goes if the shrunk failure rate of one rule is above this.
 HOST_LIMIT = 0.5
+#: Parts of a host's documents in the join with rejected hosts.
+SALTS = 32
 #: Rules that count per host; the first two are the base rules.
 RULES = {
     "few_words": f"n_words < {MIN_WORDS}",
@@ -135,9 +138,14 @@ def judged(docs: DataFrame, keep: list[str], host: str = "source", limit: float
     if "text" not in cols:  # small rows are kept; texts are measured twice instead of written
         rows = cut(rows)
     skinny = with_measures(docs, [host]) if "text" in cols else rows.select(host, "_m")
-    bad = host_verdicts(skinny, host, limit).where("NOT host_kept").select(F.col("host").alias("_host"))
+    bad = host_verdicts(skinny, host, limit).where("NOT host_kept").select(F.col("host").alias("_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    # written, so that Spark knows its size: few rejected hosts are broadcast, many meet salted rows
+    folder = scratch(docs.sparkSession, "hosts")
+    bad.write.parquet(folder)
+    bad = docs.sparkSession.read.parquet(folder)
     base = F.expr(" OR ".join(f"({RULES[r]})" for r in ("few_words", "repeats")).replace("n_", "_m.n_"))
-    return (rows.join(bad.withColumn("_bad", F.lit(True)), F.col(host).eqNullSafe(F.col("_host")), "left")
+    salted = rows.withColumn("_s", F.monotonically_increasing_id() % SALTS)
+    return (salted.join(bad.withColumn("_bad", F.lit(True)), F.col(host).eqNullSafe(F.col("_host")) & (F.col("_s") == F.col("_salt")), "left")
             .select(*[F.col(f"`{c}`") for c in keep], "_m", base.alias("_base_failed"), (~base & F.col("_bad").isNull()).alias("_kept")))
 
 
