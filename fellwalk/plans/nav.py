@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fellwalk.functions.geo import haversine_m
 from fellwalk.operators import nav as N
-from fellwalk.operators.cells import nearest_segments
+from fellwalk.operators.fixpoint import cut
+from fellwalk.operators.ordered import with_neighbour
 from fellwalk.operators.spatial import line_segments
 from fellwalk.plans import sqltext as Q
 from fellwalk.plans.geo import SUPPLIER_POINTS, supplier_roads
@@ -42,12 +44,13 @@ FOLLOW = f"""(SELECT session_id, seq, accuracy, arg_min(along, (o, sg)) AS along
 
 
 def follow(d):
-    return N.follow_route(fixes(d), N.route_progress_tables(routes(d)))
+    progress = N.route_progress_tables(routes(d)).withColumn("duration_s", 1000.0 + F.col("route_id") % 100)
+    return N.follow_route(fixes(d), progress)
 
 
-@query("follow_route", f"SELECT session_id, seq, round(along, 3) AS along, round(greatest(0e0, len - along), 3) AS remaining, round(climb, 3) AS climb_left, round(offs, 3) AS offset_m FROM {FOLLOW}")
+@query("follow_route", f"SELECT session_id, seq, round(along, 3) AS along, round(greatest(0e0, len - along), 3) AS remaining, round((1000 + (session_id + 1) % 100) * greatest(0e0, len - along) / len, 3) AS remaining_s, round(climb, 3) AS climb_left, round(offs, 3) AS offset_m FROM {FOLLOW}")
 def _(d):
-    return follow(d).select("session_id", "seq", *[F.round(c, 3).alias(c) for c in ("along", "remaining", "climb_left")], F.round("offset", 3).alias("offset_m"))
+    return follow(d).select("session_id", "seq", *[F.round(c, 3).alias(c) for c in ("along", "remaining", "remaining_s", "climb_left")], F.round("offset", 3).alias("offset_m"))
 
 
 OFF = f"(SELECT *, row_number() OVER w - coalesce(max(CASE WHEN offs <= greatest(45, accuracy * 1.5) THEN rn END) OVER (PARTITION BY session_id ORDER BY seq), 0) >= 3 AS off_route FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM {FOLLOW}) WINDOW w AS (PARTITION BY session_id ORDER BY seq))"
@@ -78,32 +81,60 @@ def _(d):
     return N.announcements(N.off_route(follow(d)), turns(d))
 
 
-@query("record_tracks")
+# Sequential rules as recursion over the rows of a session, numbered by rn.
+RECORDED = f"""WITH RECURSIVE ok AS (SELECT trace_id AS session_id, lng, lat, t_s, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS rn FROM v_trace_points WHERE accuracy <= 50),
+r AS (SELECT session_id, rn, t_s, lng AS x, lat AS y, 0e0 AS m, true AS kept FROM ok WHERE rn = 1 UNION ALL
+ SELECT session_id, rn, t_s, CASE WHEN m >= 5 THEN lng ELSE x END, CASE WHEN m >= 5 THEN lat ELSE y END, m, m >= 5 FROM
+  (SELECT o.*, r.x, r.y, {Q.hav('r.x', 'r.y', 'o.lng', 'o.lat')} AS m FROM r JOIN ok o ON o.session_id = r.session_id AND o.rn = r.rn + 1))
+SELECT session_id, count(*) AS points, round(sum(m), 3) AS distance_m, max(t_s) - min(t_s) AS duration_s FROM r WHERE kept GROUP BY session_id"""
+
+
+@query("record_tracks", RECORDED + " HAVING count(*) > 1")
 def _(d):
     return N.saved_tracks(N.record_tracks(fixes(d))).select("session_id", "points", F.round("distance_m", 3).alias("distance_m"), "duration_s")
 
 
-@query("risk_monitor")
+@query("risk_monitor", f"""WITH RECURSIVE ok AS (SELECT trace_id AS session_id, seq, lng, lat, t_s FROM v_trace_points),
+r AS (SELECT session_id, seq, t_s, t_s AS t, lng AS x, lat AS y, true AS due FROM ok WHERE seq = 1 UNION ALL
+ SELECT session_id, seq, t_s, CASE WHEN due THEN t_s ELSE t END, CASE WHEN due THEN lng ELSE x END, CASE WHEN due THEN lat ELSE y END, due FROM
+  (SELECT o.*, r.t, r.x, r.y, o.t_s - r.t >= 30 OR {Q.hav('r.x', 'r.y', 'o.lng', 'o.lat')} >= 150 AS due FROM r JOIN ok o ON o.session_id = r.session_id AND o.seq = r.seq + 1))
+SELECT session_id, seq, t_s FROM r WHERE due""")
 def _(d):
     return N.risk_monitor(fixes(d))
 
 
-@query("risk_alerts")
+@query("risk_alerts", """WITH RECURSIVE lv AS (SELECT trace_id AS session_id, seq, t_s * 10 AS t_s, (seq * 7 + trace_id) % 5 < 2 AS high FROM v_trace_points),
+ch AS (SELECT session_id, seq, t_s, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM
+ (SELECT *, coalesce(lag(high) OVER (PARTITION BY session_id ORDER BY seq), false) AS before FROM lv) WHERE high AND NOT before),
+r AS (SELECT *, t_s AS t, true AS warned FROM ch WHERE rn = 1 UNION ALL
+ SELECT c.*, CASE WHEN c.t_s - r.t > 600 THEN c.t_s ELSE r.t END, c.t_s - r.t > 600 FROM r JOIN ch c ON c.session_id = r.session_id AND c.rn = r.rn + 1)
+SELECT session_id, seq, CAST(t_s AS INT) AS t_s FROM r WHERE warned""")
 def _(d):
     lv = F.when((F.col("seq") * 7 + F.col("session_id")) % 5 < 2, "very-high").otherwise("high")
     return N.risk_alerts(fixes(d).select("session_id", "seq", (F.col("t_s") * 10).cast("int").alias("t_s"), lv.alias("level")))
 
 
-@query("smooth_heading")
+@query("smooth_heading", """WITH RECURSIVE b AS (SELECT trace_id AS session_id, seq, (seq * 37 + trace_id) % 360 - 18e1 AS bearing FROM v_trace_points),
+r AS (SELECT session_id, seq, bearing AS h FROM b WHERE seq = 1 UNION ALL
+ SELECT b.session_id, b.seq, r.h + (fmod(b.bearing - r.h + 540, 360) - 180) * 5e-1 FROM r JOIN b ON b.session_id = r.session_id AND b.seq = r.seq + 1)
+SELECT session_id, seq, round(h, 6) AS heading FROM r""")
 def _(d):
     b = fixes(d).select("session_id", "seq", ((F.col("seq") * 37 + F.col("session_id")) % 360 - 180.0).alias("bearing"))
     return N.smooth_heading(b).select("session_id", "seq", F.round("heading", 6).alias("heading"))
 
 
-@query("snap_positions", f"SELECT count(*) > 0 AS found FROM {SUPPLIER_POINTS}")
+@query("snap_positions", f"""WITH sg AS (SELECT sid, k AS seq, lng + vax AS ax, lat + vay AS ay, lng + vbx AS x2, lat + vby AS y2 FROM {SUPPLIER_POINTS} s,
+    (VALUES (0, -6e-2, -2e-2, 1e-2, 1.5e-2), (1, 1e-2, 1.5e-2, 5e-2, 4e-2)) AS v(k, vax, vay, vbx, vby) WHERE sid % 4 <> 0),
+c AS (SELECT id, sid, seq, (p.lng - ax) * mx AS qx, (p.lat - ay) * 1.1132e5 AS qy, (x2 - ax) * mx AS dx, (y2 - ay) * 1.1132e5 AS dy, ax, ay, x2, y2 FROM (SELECT *, cos(radians(lat)) * 1.1132e5 AS mx FROM v_places) p
+    JOIN sg ON p.lng BETWEEN least(ax, x2) - 1e-1 AND greatest(ax, x2) + 1e-1 AND p.lat BETWEEN least(ay, y2) - 1e-1 AND greatest(ay, y2) + 1e-1),
+t AS (SELECT *, greatest(0e0, least(1e0, (qx * dx + qy * dy) / (dx * dx + dy * dy))) AS t FROM c),
+r AS (SELECT *, round(sqrt(pow(qx - t * dx, 2) + pow(qy - t * dy, 2)), 6) AS m FROM t)
+SELECT id, sid AS line_id, seq, round(m, 3) AS dist_m, round(ax + t * (x2 - ax), 6) AS snap_lng, round(ay + t * (y2 - ay), 6) AS snap_lat FROM r WHERE m < 2000
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, sid, seq) = 1""")
 def _(d):
-    hit = nearest_segments(d.places, "id", line_segments(supplier_roads(d), "line_id"), ["line_id", "seq"], 2000.0)
-    return hit.agg((F.count(F.lit(1)) > 0).alias("found"))
+    roads = line_segments(supplier_roads(d), "line_id").withColumn("footway", F.when(F.col("line_id") % 4 == 0, "sidewalk"))
+    hit = N.snap_positions(d.places, "id", roads, 2000.0)
+    return hit.select("id", "line_id", "seq", F.round("dist_m", 3).alias("dist_m"), *[F.round(c, 6).alias(c) for c in ("snap_lng", "snap_lat")])
 
 
 @query("gps_gap_report", "SELECT user_id AS session_id, CAST(rn AS INT) AS seq, CAST(gap AS BIGINT) AS gap_s FROM (SELECT user_id, row_number() OVER w - 1 AS rn, epoch(date_trunc('second', ts)) - lag(epoch(date_trunc('second', ts))) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE gap >= 20")
@@ -121,17 +152,32 @@ def _(d):
     return N.import_track_route(p).select("file", "line", F.round("distance_m", 3).alias("distance_m"), F.round("duration_s", 3).alias("duration_s"))
 
 
-def _stream(d, job, name):
-    """Fixes written in time slices, then run through a streaming job into a table."""
+STREAM_T = "(1700000000 + t_s + CAST(floor(seq / 9e0) AS BIGINT) * 60)"  # a pause after every ninth fix
+STREAM_SLICES = 4
+
+
+def _stream(d, job, name, files_per_trigger=1):
+    """Fixes written in time slices, one after the other, then run through a streaming job into a table.
+
+    A session has one file in each slice, so its fixes arrive in order however many files a micro-batch takes.
+    """
     src, out, ck = (scratch(d.spark, f"{name}-{x}") for x in ("in", "out", "ck"))
-    f = fixes(d).select("session_id", "seq", "lng", "lat", "accuracy", F.timestamp_seconds(1700000000 + F.col("t_s")).alias("ts"))
-    f.repartitionByRange(4, "ts").write.parquet(src)
-    q = L.write_table(job(L.read_fix_stream(d.spark, src, 100)), out, ck)
+    f = with_neighbour(fixes(d), ["session_id"], "seq", {"lng": "_x", "lat": "_y", "t_s": "_t"}, offset=-1)
+    speed = haversine_m("_x", "_y", "lng", "lat") / (F.col("t_s") - F.col("_t"))
+    f = cut(f.select("session_id", "seq", "lng", "lat", "accuracy", speed.alias("speed"), F.expr(STREAM_T).cast("long").alias("_s")))
+    lo, hi = f.agg(F.min("_s"), F.max("_s")).first()
+    if hi is None:
+        lo = hi = 0
+    part = F.least(F.lit(STREAM_SLICES - 1), F.floor((F.col("_s") - lo) * STREAM_SLICES / (hi - lo + 1)))
+    for i in range(STREAM_SLICES):
+        f.where(part == i).repartition("session_id").withColumn("ts", F.timestamp_seconds("_s")).drop("_s").write.mode("append").parquet(src)
+    L.end_replay(d.spark, src, F.timestamp_seconds(F.lit(hi)))
+    q = L.write_table(job(L.read_fix_stream(d.spark, src, files_per_trigger)), out, ck)
     q.awaitTermination()
     return d.spark.read.parquet(out)
 
 
-@query("record_tracks_stream")
+@query("record_tracks_stream", f"SELECT session_id, points, distance_m FROM ({RECORDED})")
 def _(d):
     r = _stream(d, L.record_tracks, "record")
     return r.groupBy("session_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("dist_m"), 3).alias("distance_m"))
@@ -139,14 +185,16 @@ def _(d):
 
 @query("scan_requests_stream", "SELECT DISTINCT trace_id AS session_id, floor(lng * 200 + 5e-1) / 200 AS box_lng, floor(lat * 200 + 5e-1) / 200 AS box_lat FROM v_trace_points")
 def _(d):
-    return _stream(d, L.scan_requests, "scan").select("session_id", "box_lng", "box_lat").distinct()
+    return _stream(d, L.scan_requests, "scan", 1000).where("session_id is not null").select("session_id", "box_lng", "box_lat").distinct()
 
 
-@query("live_heat_stream")
+@query("live_heat_stream", f"""SELECT CAST(floor(s / 1e1) * 10 AS BIGINT) AS start, CAST(floor(lng / 1e-3) AS BIGINT) AS cx, CAST(floor(lat / 1e-3) AS BIGINT) AS cy, count(*) AS fixes, round(avg(m / 5), 3) AS mean_speed
+FROM (SELECT *, {STREAM_T} AS s, {Q.hav('lag(lng) OVER w', 'lag(lat) OVER w', 'lng', 'lat')} AS m FROM v_trace_points WINDOW w AS (PARTITION BY trace_id ORDER BY seq)) GROUP BY 1, 2, 3""")
 def _(d):
-    return _stream(d, lambda f: L.live_heat(f, 0.001, "10 seconds", "0 seconds"), "heat").select(F.unix_timestamp("start").alias("start"), "cx", "cy", "fixes")
+    return _stream(d, lambda f: L.live_heat(f, 0.001, "10 seconds", "1 day"), "heat").select(F.unix_timestamp("start").alias("start"), "cx", "cy", "fixes", F.round("mean_speed", 3).alias("mean_speed"))
 
 
-@query("sessionize_stream")
+@query("sessionize_stream", f"""SELECT session_id, min(s) AS start, count(*) AS fixes FROM (SELECT *, sum(brk) OVER (PARTITION BY session_id ORDER BY seq) AS part FROM
+ (SELECT trace_id AS session_id, seq, {STREAM_T} AS s, CASE WHEN s - lag(s) OVER (PARTITION BY trace_id ORDER BY seq) < 30 THEN 0 ELSE 1 END AS brk FROM v_trace_points)) GROUP BY session_id, part""")
 def _(d):
-    return _stream(d, lambda f: L.sessionize(f, "30 seconds", "0 seconds"), "sessions").select("session_id", F.unix_timestamp("start").alias("start"), "fixes")
+    return _stream(d, lambda f: L.sessionize(f, "30 seconds", "1 day"), "sessions").select("session_id", F.unix_timestamp("start").alias("start"), "fixes")
