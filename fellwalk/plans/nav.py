@@ -116,7 +116,7 @@ def _(d):
 
 @query("smooth_heading", """WITH RECURSIVE b AS (SELECT trace_id AS session_id, seq, (seq * 37 + trace_id) % 360 - 18e1 AS bearing FROM v_trace_points),
 r AS (SELECT session_id, seq, bearing AS h FROM b WHERE seq = 1 UNION ALL
- SELECT b.session_id, b.seq, r.h + (fmod(b.bearing - r.h + 540, 360) - 180) * 5e-1 FROM r JOIN b ON b.session_id = r.session_id AND b.seq = r.seq + 1)
+ SELECT b.session_id, b.seq, r.h + ((b.bearing - r.h + 540) % 360 - 180) * 5e-1 FROM r JOIN b ON b.session_id = r.session_id AND b.seq = r.seq + 1)
 SELECT session_id, seq, round(h, 6) AS heading FROM r""")
 def _(d):
     b = fixes(d).select("session_id", "seq", ((F.col("seq") * 37 + F.col("session_id")) % 360 - 180.0).alias("bearing"))

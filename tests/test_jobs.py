@@ -7,12 +7,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fellwalk import plans
 from fellwalk.functions import risk, text, trails
 from fellwalk.functions.geo import haversine_m, utm
 from fellwalk.operators import detect, gazetteer, graphs, nav, routing, spatial
 from fellwalk.operators.ordered import running_sums, with_neighbour
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def one(spark, *cols):
     return spark.range(1).select(*cols).first()
 
@@ -250,3 +254,52 @@ def test_long_posting_lists_are_searched(spark):
     ix = S.build_search_index(entries)
     words = spark.createDataFrame([(1, 0, "gradec", True)], "query_id long, pos int, word string, last boolean")
     assert S.retrieve(words, ix, entries).count() == 25_000
+
+
+def test_follow_route_keeps_to_its_leg(spark):
+    """Out and back 20 m apart: fixes between the legs stay on the leg they came along."""
+    north, dy = 45.0, 100 / 111320.0
+    k = math.cos(math.radians(north)) * 111320.0
+    out = [(25.0, north + i * dy) for i in range(101)]
+    line = out + [(25.0 + 20 / k, y) for _, y in reversed(out)]
+    route = spark.createDataFrame([(1, i, x, y, 0.0) for i, (x, y) in enumerate(line)], "route_id bigint, seq int, lng double, lat double, ele double")
+    track = [(25.0 + 12 / k, north + (i + 0.4) * dy) for i in range(0, 100, 5)] + [(25.0 + 8 / k, north + (i + 0.6) * dy) for i in range(95, -1, -5)]
+    far = (25.0 + 3000 / k, north + 30.2 * dy)
+    fixes = spark.createDataFrame([(7, i, 1, x, y, 10.0) for i, (x, y) in enumerate(track[:22] + [far] + track[22:])] + [(8, 0, 1, *track[3], None)],
+                                  "session_id bigint, seq int, route_id bigint, lng double, lat double, accuracy double")
+    progress = nav.route_progress_tables(route).withColumn("duration_s", F.lit(3600.0))
+    got = {(r.session_id, r.seq): r for r in nav.follow_route(fixes, progress).collect()}
+
+    def place(x, y, last):
+        m = 111320 * math.cos(math.radians(y))
+        ds = []
+        for s, ((ax, ay), (bx, by)) in enumerate(zip(line, line[1:])):
+            ux, uy, px, py = (bx - ax) * m, (by - ay) * 110540, (x - ax) * m, (y - ay) * 110540
+            t = max(0.0, min(1.0, (px * ux + py * uy) / (ux * ux + uy * uy)))
+            ds.append((round(math.hypot(px - t * ux, py - t * uy), 6), s, t))
+        best = min(ds[max(0, last - 20):last + 60])
+        return best if best[0] <= 45 else min(ds)
+
+    for session in (7, 8):
+        last = 0
+        for r in sorted((r for r in fixes.collect() if r.session_id == session), key=lambda r: r.seq):
+            off, last, t = place(r.lng, r.lat, last)
+            g = got[session, r.seq]
+            assert abs(g.offset - off) < 1e-5 and abs(g.along - (100 * min(last, 100) + 20 * (last > 100) + 100 * max(0, last - 101) + t * (20 if last == 100 else 100))) < 40, (session, r.seq)
+            assert abs(g.remaining_s - 3600 * g.remaining / g.length_m) < 1e-6
+    assert len(got) == 42 and got[7, 0].remaining > 19000 and got[8, 0].accuracy is None
+
+
+def test_streams_keep_every_fix(spark):
+    plans.load()
+    q = plans.all_queries()
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert q["sessionize_stream"](spark, SF).agg(F.sum("fixes")).first()[0] == n
+    assert q["live_heat_stream"](spark, SF).agg(F.sum("fixes")).first()[0] == n
+
+
+def test_snap_positions_skips_sidewalks(spark):
+    seg = spark.createDataFrame([(1, 0, 25.0, 45.0, 25.01, 45.0, "sidewalk"), (2, 0, 25.0, 45.001, 25.01, 45.001, None)], "line_id bigint, seq int, ax double, ay double, bx double, by double, footway string")
+    p = spark.createDataFrame([("a", 25.005, 45.0), ("b", 25.005, 44.9)], "id string, lng double, lat double")
+    (r,) = nav.snap_positions(p, "id", seg, 200.0).collect()
+    assert r.id == "a" and r.line_id == 2 and abs(r.dist_m - 111.32) < 1e-3
