@@ -54,7 +54,7 @@ SELECT c_custkey AS rel_id, CASE WHEN c_custkey % 3 = 0 THEN concat('Route ', CA
        CASE c_custkey % 4 WHEN 0 THEN '#a1b2c3' WHEN 1 THEN 'Brown' END AS colour
 FROM customer""",
     "v_route_members": """
-SELECT o_custkey AS rel_id, o_orderkey AS way_id FROM orders WHERE o_custkey % 4 = 0""",
+SELECT o_custkey AS rel_id, o_orderkey AS way_id FROM orders""",
     "v_trace_points": """
 SELECT user_id AS trace_id, seq, 2.5e1 + x / 1e5 AS lng, 4.5e1 + y / 1e5 AS lat, seq * 5 AS t_s, accuracy
 FROM (SELECT user_id, event_id, ts, 5 + event_id % 60 AS accuracy,

@@ -108,11 +108,6 @@ def mask(d):
     return d.score_cells.where(on).select(F.lit(1).alias("scan_id"), "cx", "cy", "score")
 
 
-def sparse(d):
-    """Half of the mask: many small components."""
-    return mask(d).where((F.col("cx") * 5 + F.col("cy") * 3) % 8 < 4)
-
-
 def mask_grid(d):
     n = d.table("events").agg(F.ceil(F.count(F.lit(1)) / 100).cast("int")).scalar()
     return d.spark.range(1).select(F.lit(1).alias("scan_id"), F.lit(100).alias("width"), n.alias("height"))
@@ -141,22 +136,28 @@ def _(d):
     return X.close(mask(d).select(*X.KEY), mask_grid(d)).select("cx", "cy")
 
 
-_REACH = f"""WITH RECURSIVE m AS (SELECT * FROM {MASK} WHERE (cx * 5 + cy * 3) % 8 < 4), r(root, cx, cy) AS (SELECT cy * 100 + cx, cx, cy FROM m UNION SELECT r.root, m.cx, m.cy FROM r JOIN m ON abs(m.cx - r.cx) <= 1 AND m.cy BETWEEN r.cy - 1 AND r.cy + 1)"""
+# smallest cell number (cy * 100 + cx) of every component, passed on from neighbour to neighbour
+_LABELS = """WITH RECURSIVE m AS (SELECT *, cy * 100 + cx AS v FROM {m}),
+e AS (SELECT a.v AS a, b.v AS b FROM m a JOIN m b ON b.cx = a.cx + 1 AND b.cy = a.cy UNION ALL SELECT a.v, b.v FROM m a JOIN m b ON b.cx = a.cx - 1 AND b.cy = a.cy + 1
+  UNION ALL SELECT a.v, b.v FROM m a JOIN m b ON b.cx = a.cx AND b.cy = a.cy + 1 UNION ALL SELECT a.v, b.v FROM m a JOIN m b ON b.cx = a.cx + 1 AND b.cy = a.cy + 1),
+n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(v, l) USING KEY (v) AS (SELECT v, v FROM m UNION SELECT n.b, min(r.l) FROM r JOIN n ON n.a = r.v JOIN recurring.r AS o ON o.v = n.b WHERE r.l < o.l GROUP BY n.b)"""
+_ALLOWED = f"(SELECT * FROM {MASK} WHERE score >= 2e-2 AND (cx + cy) % 6 <> 0)"
 
 
-@query("components", _REACH + " SELECT cx, cy, CAST(min(root) AS BIGINT) AS label FROM r GROUP BY cx, cy")
+@query("components", _LABELS.format(m=MASK) + " SELECT cx, cy, CAST(l AS BIGINT) AS label FROM r JOIN m USING (v)")
 def _(d):
-    return X.components(sparse(d)).select("cx", "cy", (F.col("label.cy") * 100 + F.col("label.cx")).cast("long").alias("label"))
+    return X.components(mask(d)).select("cx", "cy", (F.col("label.cy") * 100 + F.col("label.cx")).cast("long").alias("label"))
 
 
-@query("remove_small", _REACH + " SELECT cx, cy FROM r GROUP BY cx, cy HAVING count(*) >= 5")
+@query("remove_small", _LABELS.format(m=MASK) + " SELECT cx, cy FROM r JOIN m USING (v) QUALIFY count(*) OVER (PARTITION BY l) >= 5")
 def _(d):
-    return X.remove_small(sparse(d), 5).select("cx", "cy")
+    return X.remove_small(mask(d), 5).select("cx", "cy")
 
 
-@query("hysteresis", _REACH + " SELECT r.cx, r.cy FROM r JOIN m ON m.cy * 100 + m.cx = r.root GROUP BY r.cx, r.cy HAVING max(m.score) >= 3e-1")
+@query("hysteresis", _LABELS.format(m=_ALLOWED) + " SELECT cx, cy FROM r JOIN m USING (v) QUALIFY max(score) OVER (PARTITION BY l) >= 3e-1")
 def _(d):
-    return X.hysteresis(sparse(d), 0.0, 0.3).select("cx", "cy")
+    return X.hysteresis(mask(d), 0.02, 0.3, mask(d).where("(cx + cy) % 6 = 0").select(*X.KEY)).select("cx", "cy")
 
 
 def _thick(d):

@@ -244,10 +244,10 @@ def _(d):
     return S.search_eval(r, c).select("cases", F.round("top1", 6).alias("top1"), F.round("top3", 6).alias("top3"))
 
 
-@query("load_shards", f"SELECT p.id FROM v_places p WHERE EXISTS (SELECT 1 FROM {QUERY_SQL} q WHERE query_id % 50 = 0 AND abs(floor(p.lng) - floor(focus_lng)) <= 1 AND abs(floor(p.lat) - floor(focus_lat)) <= 1 AND focus_lng < 26)")
+@query("load_shards", f"SELECT p.id FROM v_places p WHERE EXISTS (SELECT 1 FROM {QUERY_SQL} q WHERE abs(floor(p.lng) - floor(focus_lng)) <= 1 AND abs(floor(p.lat) - floor(focus_lat)) <= 1)")
 def _(d):
     s = d.places.withColumns({"shard_x": F.floor("lng").cast("int"), "shard_y": F.floor("lat").cast("int")})
-    return S.load_shards(queries(d).where("query_id % 50 = 0 and focus_lng < 26"), s).select("id")
+    return S.load_shards(queries(d), s).select("id")
 
 
 @query("token_features")
@@ -258,10 +258,11 @@ def _(d):
 
 def _model(d):
     q = queries(d).select("query_id", "query", X.tokens(F.col("query")).alias("tokens"))
-    f = S.token_features(q, 512)
-    emb = d.table("embeddings").where("vec_id < 512").select(F.col("vec_id").cast("int").alias("bucket"), F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("v"))
+    emb = d.table("embeddings").select(F.col("vec_id").cast("int").alias("bucket"), F.col("embedding").cast("array<double>").alias("v"))
+    n, dims = emb.agg(F.max("bucket") + 1, F.max(F.size("v"))).first()
+    f = S.token_features(q, n)
     row = lambda r, n: F.array(*[F.lit(((r * 7 + i * 5) % 11 - 5) / 5) for i in range(n)])
-    head = F.struct(F.array(*[row(r, 16) for r in range(6)]).alias("role_w"), row(1, 6).alias("role_b"), F.array(*[row(r, 16) for r in range(37)]).alias("cat_w"), row(2, 37).alias("cat_b"))
+    head = F.struct(F.array(*[row(r, dims) for r in range(6)]).alias("role_w"), row(1, 6).alias("role_b"), F.array(*[row(r, dims) for r in range(37)]).alias("cat_w"), row(2, 37).alias("cat_b"))
     return S.model_parse(q, f, emb, head, 1.0)
 
 
