@@ -410,7 +410,8 @@ def rank_results(scored: DataFrame, entries: DataFrame, limit: int = 12) -> Data
 def search(queries: DataFrame, index: dict[str, DataFrame], entries: DataFrame, limit: int = 12) -> DataFrame:
     """Rule parse, candidates, features, hand-set score, ranking. queries(query_id, query, focus_lng, focus_lat)."""
     c, p = candidates(rule_parse(queries), index, entries)
-    return rank_results(heuristic_score(ranking_features(c, p, index, entries)), entries, limit)
+    # candidates and features have deep plans and several uses: each is computed once
+    return rank_results(heuristic_score(cut(ranking_features(cut(c), p, index, entries))), entries, limit)
 
 
 def local_search(queries: DataFrame, places: DataFrame, limit: int = 8) -> DataFrame:

@@ -271,3 +271,48 @@ def _(d):
     return _model(d).select("query_id", F.array_join("roles", " ").alias("roles"), F.round(F.array_max("cats"), 6).alias("top"))
 
 
+# readings of a model that the rules must mend: everything an anchor, nothing but fill, a first name before a near word
+_READ = f"""(SELECT *, CASE query_id % 3 WHEN 0 THEN 'anchor' WHEN 1 THEN 'fill' ELSE CASE i WHEN 1 THEN 'name' WHEN 2 THEN 'near' ELSE 'anchor' END END AS said
+ FROM (SELECT query_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT query_id, string_split({_FOLD.format('query')}, ' ') AS toks FROM {QUERY_SQL})))"""
+
+
+@query("reconcile_parse", f"""
+WITH r AS (SELECT query_id, i, toks[i] AS t, CASE WHEN query_id % 3 = 1 THEN 'name' WHEN query_id % 3 = 0 AND toks[i] IN ('lake', 'cabane') THEN 'cue'
+   WHEN said = 'name' AND toks[i] IN ('lake', 'cabane') THEN 'cue' ELSE said END AS role FROM {_READ}),
+q AS (SELECT query_id, string_agg(role, ' ' ORDER BY i) AS roles, coalesce(string_agg(CASE WHEN role = 'name' THEN t END, ' ' ORDER BY i), '') AS name, coalesce(string_agg(CASE WHEN role = 'cue' THEN t END, ' ' ORDER BY i), '') AS cue,
+   coalesce(string_agg(CASE WHEN role = 'anchor' THEN t END, ' ' ORDER BY i), '') AS anchor FROM r GROUP BY query_id)
+SELECT query_id, roles, CASE WHEN name = '' AND cue = '' THEN anchor ELSE name END AS name, cue, CASE WHEN name = '' AND cue = '' THEN '' ELSE anchor END AS anchor,
+ round(CASE WHEN query_id % 3 = 1 OR (query_id % 3 = 2 AND cue <> '') THEN 1e0 WHEN cue <> '' THEN 3e-1 / 37 + 7e-1 ELSE 1e0 / 37 END, 6) AS top FROM q""")
+def _(d):
+    rules = S.rule_parse(queries(d))
+    i = F.col("query_id") % 3
+    said = F.transform("tokens", lambda t, k: F.when(i == 0, "anchor").when(i == 1, "fill").otherwise(F.when(k == 0, "name").when(k == 1, "near").otherwise("anchor")))
+    model = rules.select("query_id", "tokens", said.alias("roles"), F.transform(F.sequence(F.lit(0), F.lit(36)), lambda c: F.lit(1.0) / 37).alias("cats"))
+    words = [F.array_join(c, " ").alias(c) for c in ("roles", "name", "cue", "anchor")]
+    return S.reconcile_parse(model, rules, "query_id").select("query_id", *words, F.round(F.array_max("cats"), 6).alias("top"))
+
+
+def twice(d):
+    """Every place, and every third one again under an upper-case name."""
+    k = F.substring("id", 2, 20).cast("long")
+    again = d.places.where(k % 3 == 0).withColumns({"id": F.concat(F.lit("r"), "id"), "name": F.upper("name")})
+    return d.places.unionByName(again)
+
+
+@query("rank_results", """
+WITH e AS (SELECT id, name, lng, lat, CAST(substr(id, 2) AS BIGINT) AS k FROM v_places), t AS (SELECT *, k * 37 % 101 / 1e1 AS score FROM e UNION ALL SELECT 'r' || id, upper(name), lng, lat, k, (k * 37 % 101 + 5) / 1e1 FROM e WHERE k % 3 = 0),
+s AS (SELECT *, CAST(floor(k / 50) AS BIGINT) AS query_id, row_number() OVER w AS r, lead(score) OVER w AS nx FROM t WINDOW w AS (PARTITION BY CAST(floor(k / 50) AS BIGINT) ORDER BY score DESC, id)),
+u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, lower(name), floor(lng * 50 + 5e-1), floor(lat * 50 + 5e-1) ORDER BY r) = 1)
+SELECT u.query_id, id, name, score, CAST(rank AS INT) AS rank, round(c.confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM u) u
+ JOIN (SELECT query_id, coalesce(score - nx, 5e0) AS confidence FROM s WHERE r = 1) c ON c.query_id = u.query_id WHERE rank <= 12""")
+def _(d):
+    e = twice(d)
+    k = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    scored = e.select(F.floor(k / 50).alias("query_id"), "id", ((k * 37 % 101 + F.when(F.col("id").startswith("r"), 5).otherwise(0)) / 10).alias("score"))
+    return S.rank_results(scored, e).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("search_places")
+def _(d):
+    e, ix = _index(d)
+    return S.search(queries(d), ix, e).select("query_id", "id", "name", F.round("score", 6).alias("score"), "rank", F.round("confidence", 6).alias("confidence"))

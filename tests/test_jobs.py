@@ -303,3 +303,16 @@ def test_snap_positions_skips_sidewalks(spark):
     p = spark.createDataFrame([("a", 25.005, 45.0), ("b", 25.005, 44.9)], "id string, lng double, lat double")
     (r,) = nav.snap_positions(p, "id", seg, 200.0).collect()
     assert r.id == "a" and r.line_id == 2 and abs(r.dist_m - 111.32) < 1e-3
+
+
+def test_search_finds_places_by_name_type_and_typos(spark):
+    from fellwalk.operators import search
+    from fellwalk.operators.fixpoint import cut
+    rows = [("w1", "Lacul Noua", 7, 25.637, 45.613, 42), ("w2", "Parc Lacul Noua", 24, 25.6395, 45.6135, 34), ("n3", "Tâmpa", 4, 25.597, 45.635, 66), ("n4", "Postăvaru", 4, 25.55, 45.58, 70),
+            ("n5", "Cabana Postăvaru", 16, 25.551, 45.581, 52), ("w6", "Bastionul Postăvarilor", 21, 25.589, 45.64, 77), ("n7", "Cabana Babele", 16, 25.464, 45.405, 60), ("w8", "Lacul Bâlea", 7, 24.617, 45.603, 60)]
+    e = cut(spark.createDataFrame(rows, "id string, name string, cat int, lng double, lat double, imp int").withColumn("alt", F.array().cast("array<string>")))
+    ix = {k: cut(v) for k, v in search.build_search_index(e).items()}
+    want = {"lacul noua": "Lacul Noua", "tampa": "Tâmpa", "tamap": "Tâmpa", "cabana postavaru": "Cabana Postăvaru", "balea lake": "Lacul Bâlea"}
+    q = spark.createDataFrame([(i, t, 25.5887, 45.6427) for i, t in enumerate(want)], "query_id long, query string, focus_lng double, focus_lat double")
+    got = {r.query_id: r.name for r in search.search(q, ix, e).where("rank = 1").collect()}
+    assert got == dict(enumerate(want.values()))
