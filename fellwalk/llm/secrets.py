@@ -2,7 +2,9 @@
 
 Base kinds, leftmost and non-overlapping: `assign`, `access`, `hex`. The method adds `random`: tokens of
 20 characters and more whose encoding can be inferred (hex, base32, base36, base64) and that pass for
-uniformly random. Each token is tested for uniform use of its alphabet (chi-squared with the exact
+uniformly random. An equals sign ends a name or pads a token, so the value of NAME=value is a token of
+its own; runs of letters, digits, `+` and `/`, runs with `_` and `-`, and the parts between these marks are
+all tested, and of nested tokens that are reported the longest stands. Each token is tested for uniform use of its alphabet (chi-squared with the exact
 variance), for runs above and below the middle of the alphabet, and for serial correlation; the
 smallest of the three p-values, times three, is its p-value. Among all tokens of one encoding and
 length band (a doubling of length) the Benjamini-Hochberg procedure rejects randomness at a false
@@ -26,7 +28,8 @@ from fellwalk.operators.fixpoint import cut
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Runs of the characters of both base64 alphabets, and the parts between their marks; = is padding only.
+TOKENS = tuple(rf"(?<![{c}])[{c}]{{20,}}={{0,2}}" for c in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9"))
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE = 8
 FDR = 0.05
@@ -96,7 +99,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`keep`, and `_base` (start, kind as its number, stop) and `_tokens` (start, stop, stratum, bin) of each text."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     found = rows.select(*[F.col(f"`{c}`") for c in keep], F.expr(f"filter({located(ASSIGN, 1)}, x -> length(x.value) >= {MIN_VALUE})").alias("_a"),
-                        F.expr(located(ACCESS)).alias("_k"), F.expr(located(HEX)).alias("_h"), F.expr(located(TOKEN)).alias("_r"))
+                        F.expr(located(ACCESS)).alias("_k"), F.expr(located(HEX)).alias("_h"), F.expr(f"array_distinct(concat({', '.join(map(located, TOKENS))}))").alias("_r"))
     span = lambda col, k: f"transform({col}, x -> named_struct('start', x.start, 'kind', {k}, 'stop', x.stop))"
     token = "named_struct('start', x.start, 'stop', x.start + length(rtrim('=', x.value)), 'value', x.value, 'e', {})".format(encoding("rtrim('=', x.value)"))
     known = f"filter(transform(_r, x -> {token}), x -> x.e IS NOT NULL AND x.stop - x.start >= 20)"
@@ -122,7 +125,8 @@ def all_spans(limits: dict[str, int]) -> Column:
     """`_base` and the random tokens that no base span holds, sorted."""
     limit = "map(" + ", ".join(f"'{k}', {v}" for k, v in sorted(limits.items())) + ")" if limits else "CAST(map() AS map<string, int>)"
     random = f"filter(_tokens, x -> x.bin < coalesce(element_at({limit}, x.stratum), {BINS + 1}) AND NOT exists(_base, y -> y.start <= x.start AND y.stop >= x.stop))"
-    return F.expr(f"sort_array(concat(_base, transform({random}, x -> named_struct('start', x.start, 'kind', 3, 'stop', x.stop))))")
+    longest = f"element_at(transform(array({random}), r -> filter(r, x -> NOT exists(r, y -> y.start <= x.start AND y.stop >= x.stop AND y.stop - y.start > x.stop - x.start))), 1)"
+    return F.expr(f"sort_array(concat(_base, transform({longest}, x -> named_struct('start', x.start, 'kind', 3, 'stop', x.stop))))")
 
 
 def written(col: str) -> Column:
