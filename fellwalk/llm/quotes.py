@@ -4,7 +4,8 @@ Lines that start with `>` marks are quotes; the number of marks is their level.
 level form a passage. Passages and the unquoted lines of every message are normalised (lower case,
 blanks collapsed, attribution lines and blank lines left out) and hashed line by line and as a whole;
 a quoted passage links to the first earlier message of the conversation that has it as its unquoted
-text, as a paragraph or as a line, the shallowest quote of a message deciding what it replies to. Threads follow these links;
+text, as a paragraph or as a line, the shallowest quote of a message deciding what it replies to. Where no
+whole passage is found, its paragraphs and lines link it to the message that most of them belong to. Threads follow these links;
 in the result a conversation is ordered by threads, each reply after what it answers, and texts are
 without quotes and attributions.
 
@@ -28,7 +29,7 @@ from fellwalk.operators.fixpoint import cut
 
 MARKS = r"^[ \t]{0,3}(?:>[ \t]?)+"
 ATTRIBUTION = r"(?i)^[ \t]*(?:on\b.{1,200}\bwrote:|.{1,100}\b(?:schrieb|a écrit|escribió)\b.{0,100}:|-{2,} ?original message ?-{2,})[ \t]*$"
-#: Shorter passages, in normalised characters, are no evidence for a link.
+#: Shorter passages and parts, in normalised characters, link only if one message of the conversation has them.
 LEAST = 8
 
 
@@ -45,19 +46,22 @@ def lines(messages: DataFrame) -> DataFrame:
 
 
 def passages(text: Column) -> Column:
-    """Passages of a text, as array<struct<level, body>>: maximal runs of lines of one level, normalised.
+    """Passages of a text, as array<struct<level, body, parts>>: maximal runs of lines of one level, normalised, with their paragraphs and lines.
 
-    Lines that only introduce a quote are left out; so are blank lines, which end no passage.
+    Lines that only introduce a quote are left out, at any level; blank lines end a paragraph, but no passage.
     """
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: ~x.rlike(ATTRIBUTION))
+    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: ~F.regexp_replace(x, MARKS, "").rlike(ATTRIBUTION))
     cut_line = lambda x: F.struct(
         (F.length(F.regexp_extract(x, MARKS, 0)) - F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), ">", ""))).alias("level"),
         normal(F.regexp_replace(x, MARKS, "")).alias("body"))
-    rows = F.filter(F.transform(raw, cut_line), lambda x: x["body"] != "")
     kind = "array<struct<level:int,body:string>>"
-    add = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["level"] == x["level"]),
-                                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", F.element_at(acc, -1)["body"], x["body"]).alias("body"))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(rows, F.array().cast(kind), add)
+    last = lambda acc: F.element_at(acc, -1)
+    more = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["level"].alias("level"), F.concat(last(acc)["body"], F.lit("\n"), x["body"]).alias("body"))))
+    add = lambda acc, x: (F.when((F.size(acc) > 0) & ((x["body"] == "") | (last(acc)["level"] == x["level"])), more(acc, x))
+                          .when(x["body"] == "", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.transform(F.aggregate(F.transform(raw, cut_line), F.array().cast(kind), add), lambda p: F.struct(
+        p["level"].alias("level"), normal(p["body"]).alias("body"),
+        F.filter(F.array_distinct(F.transform(F.concat(F.split(p["body"], r"\n\n+"), F.split(p["body"], "\n")), normal)), lambda x: x != "").alias("parts")))
 
 
 def clean(text: Column) -> Column:
@@ -74,19 +78,29 @@ def own_parts(text: Column) -> Column:
     """Hashes of a message's unquoted text: as a whole, by paragraph and by line, with the level-0 passages between quotes."""
     body = clean(text)
     pieces = F.concat(F.array(body), F.split(body, r"\n\s*\n"), F.split(body, "\n"), F.transform(F.filter(passages(text), lambda p: p["level"] == 0), lambda p: p["body"]))
-    return F.array_distinct(F.transform(F.filter(F.transform(pieces, normal), lambda x: F.length(x) >= LEAST), lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(F.filter(F.transform(pieces, normal), lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, target): for each message that quotes, the original it replies to, by its shallowest linked passage, then the latest original."""
+    """(conv_id, turn, level, target): for each message that quotes, the original it replies to.
+
+    Its shallowest linked level decides; there a whole passage goes before paragraphs and lines. Of whole
+    passages the latest original counts; of parts the message that most parts belong to alone, then most
+    parts, then the latest.
+    """
     rows = messages.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.col("text").cast("string").alias("text"))
-    quoted = (rows.where(quoting(F.col("text"))).select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p"))
-              .where((F.col("p.level") > 0) & (F.length("p.body") >= LEAST)).select("conv_id", "turn", F.col("p.level").alias("level"), F.xxhash64("p.body").alias("h")).distinct())
+    piece = lambda x, part: F.struct(F.lit(part).alias("part"), (F.length(x) < LEAST).alias("short"), F.xxhash64(x).alias("h"))
+    quoted = (rows.where(quoting(F.col("text"))).select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p")).where("p.level > 0")
+              .select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(F.concat(F.array(piece(F.col("p.body"), 0)), F.transform("p.parts", lambda x: piece(x, 1)))).alias("q"))
+              .select("conv_id", "turn", "level", "q.*").distinct())
     # only conversations that quote have to be taken apart
     asking = quoted.select("conv_id").distinct()
-    originals = rows.join(asking, "conv_id", "left_semi").select("conv_id", F.col("turn").alias("target"), F.explode(own_parts(F.col("text"))).alias("h")).groupBy("conv_id", "h").agg(F.min("target").alias("target"))
-    hits = quoted.join(originals, ["conv_id", "h"]).where("target < turn")
-    return hits.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("target")).alias("back"))).alias("s")).select("conv_id", "turn", F.col("s.level").alias("level"), (-F.col("s.back")).alias("target"))
+    originals = (rows.join(asking, "conv_id", "left_semi").select("conv_id", F.col("turn").alias("target"), F.explode(own_parts(F.col("text"))).alias("h"))
+                 .groupBy("conv_id", "h").agg(F.min("target").alias("target"), (F.min("target") == F.max("target")).alias("alone")))
+    hits = quoted.join(originals, ["conv_id", "h"]).where("target < turn AND (alone OR NOT short)")
+    votes = hits.groupBy("conv_id", "turn", "level", "part", "target").agg((-F.sum(F.col("part") * F.col("alone").cast("int"))).alias("sole"), (-F.sum("part")).alias("all"))
+    best = votes.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "part", "sole", "all", (-F.col("target")).alias("back"))).alias("s"))
+    return best.select("conv_id", "turn", F.col("s.level").alias("level"), (-F.col("s.back")).alias("target"))
 
 
 def threads(found: DataFrame) -> DataFrame:
