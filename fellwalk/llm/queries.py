@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fellwalk.llm import fingerprints, langid, packing, quality, quotes, secrets, simhash, spm, suffix, warc
+from fellwalk.llm import fingerprints, langid, packing, quality, quotes, runs, secrets, simhash, spm, suffix, warc
 from fellwalk.llm.common import table
 from fellwalk.plans.scratch import scratch
 
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": on_documents(suffix.digest),
     "op9_randomness_secrets": on_documents(secrets.digest),
     "op10_simhash_multi_index": on_documents(simhash.digest),
+    "op13_periodic_runs": on_documents(runs.digest),
     "pipeline": corpus_pipeline.run,
 }
 
