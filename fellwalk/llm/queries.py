@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fellwalk.llm import fingerprints, langid, packing, quality, quotes, runs, secrets, simhash, spm, suffix, warc
+from fellwalk.llm import fingerprints, langid, packing, quality, quotes, runs, secrets, simhash, spm, suffix, tokenids, warc
 from fellwalk.llm.common import table
 from fellwalk.plans.scratch import scratch
 
@@ -17,6 +17,12 @@ def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_token_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenids.digest(spark, table(spark, sf_dir, "documents"), scratch(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def on_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": on_documents(suffix.digest),
     "op9_randomness_secrets": on_documents(secrets.digest),
     "op10_simhash_multi_index": on_documents(simhash.digest),
+    "op12_token_id_planes": op12_token_id_planes,
     "op13_periodic_runs": on_documents(runs.digest),
     "pipeline": corpus_pipeline.run,
 }
