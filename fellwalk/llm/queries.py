@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fellwalk.llm import fingerprints, langid, packing, quality, quotes, runs, secrets, simhash, spm, suffix, tokenids, warc
+from fellwalk.llm import fingerprints, langid, negatives, packing, quality, quotes, runs, secrets, simhash, spm, suffix, tokenids, warc
 from fellwalk.llm.common import table
 from fellwalk.plans.scratch import scratch
 
@@ -38,9 +38,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": on_documents(suffix.digest),
     "op9_randomness_secrets": on_documents(secrets.digest),
     "op10_simhash_multi_index": on_documents(simhash.digest),
+    "op11_spanning_tree_negatives": lambda spark, sf_dir: negatives.digest(table(spark, sf_dir, "embeddings")),
     "op12_token_id_planes": op12_token_id_planes,
     "op13_periodic_runs": on_documents(runs.digest),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_spanning_tree_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, list_inner_product(a.v, v.v)::BIGINT AS score FROM v AS a JOIN v ON a.vec_id % 50 = 0 AND v.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
+}
