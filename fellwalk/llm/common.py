@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,3 +44,22 @@ def blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which whoever submits the job sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Holds the columns that a stage only carries along.
+CARRIED = "carried columns"
+
+
+def set_apart(*own: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For stages that return the columns of their input: all but `own` travel in one struct, so that no name of theirs can meet one of the stage's."""
+    def around(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(stage)
+        def run(docs: DataFrame, *args, **more) -> DataFrame:
+            quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+            rest = [c for c in docs.columns if c not in own]
+            if not rest:
+                return stage(docs, *args, **more)
+            out = stage(docs.select(*[c for c in docs.columns if c in own], F.struct(*[quoted(c) for c in rest]).alias(CARRIED)), *args, **more)
+            return out.select(*[F.col(c) if c in own else F.col(f"`{CARRIED}`").getField(c).alias(c) for c in docs.columns])
+        return run
+    return around

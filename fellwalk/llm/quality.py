@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from fellwalk.llm.common import BLANKS, text_bytes
+from fellwalk.llm.common import BLANKS, set_apart, text_bytes
 from fellwalk.operators.fixpoint import cut
 from fellwalk.plans.scratch import scratch
 
@@ -154,6 +154,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return judged(docs, ["doc_id"]).select("doc_id", "_m.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+@set_apart("doc_id", "text", "source")
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep."""
     return judged(docs, docs.columns).where("_kept").select(docs.columns)

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fellwalk.llm.common import set_apart
 from fellwalk.operators.fixpoint import cut
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -142,6 +143,7 @@ def digest(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     return found.withColumn("_all", all_spans(limits)).select("doc_id", *counts, F.sha2(written("_base"), 256).alias("base_sha256"), written("_all").alias("spans"))
 
 
+@set_apart("text")
 def redacted(docs: DataFrame, fdr: float = FDR, mark: str = "[SECRET]") -> DataFrame:
     """The rows of `docs` with each stretch of secrets in `text` replaced by `mark`."""
     limits = cut_offs(scanned(docs, []), fdr)

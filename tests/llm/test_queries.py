@@ -309,14 +309,17 @@ def test_pieces(spark, odd, empty):
 
 
 def test_pipeline_stages_follow_brute_force(spark, odd, empty):
+    from test_neardup import brute_stay
+
     d = pd.read_parquet(f"{SF}/documents.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one = corpus_pipeline.STAGES[0][1](spark, docs, SF)
     want = {i for i, t in zip(d.doc_id, d.text) if not brute_measures(t)[5]}
     assert one.columns == docs.columns and {r[0] for r in one.select("doc_id").collect()} == want
     two = corpus_pipeline.STAGES[1][1](spark, one, SF)
-    rows = [(i, t.encode()) for i, t in zip(d.doc_id.tolist(), d.text) if i in want]
-    stay = {i for (i, _), c in zip(rows, brute_groups(rows)[1]) if i == c}
+    rows = sorted((i, t) for i, t in zip(d.doc_id.tolist(), d.text) if i in want)
+    stay = {rows[i][0] for i in brute_stay(rows)}  # five-word shingles, a similarity of 0.8
+    rows = [(i, t.encode()) for i, t in rows]
     assert two.columns == docs.columns and {r[0] for r in two.select("doc_id").collect()} == stay
     rows = sorted(r for r in rows if r[0] in stay)
     cut = {i: bytes(np.frombuffer(t, np.uint8)[~h]).decode("utf-8", "ignore") for (i, t), h in zip(rows, brute_removed(rows, 50))}
