@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Accented Latin letters and their base letters, by canonical decomposition.
 _PAIRS = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if "a" <= unicodedata.normalize("NFD", chr(c))[0] <= "z" and chr(c).islower()]
@@ -32,7 +30,8 @@ LEMMA = {form: base for base, forms in LEMMA_FORMS.items() for form in forms.spl
 
 
 def literal_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    """A constant map of words without commas, as one small expression."""
+    return F.map_from_arrays(F.split(F.lit(",".join(d)), ","), F.split(F.lit(",".join(map(str, d.values()))), ","))
 
 
 def fold(c: Column) -> Column:
@@ -47,7 +46,7 @@ def tokens(c: Column) -> Column:
 
 
 def stem(t: Column) -> Column:
-    known = F.coalesce(F.try_element_at(literal_map(NUMBER_WORDS), t), F.try_element_at(literal_map(LEMMA), t))
+    known = F.try_element_at(literal_map(LEMMA | NUMBER_WORDS), t)
     n = F.length(t)
     rule = (F.when((n <= 4) | t.rlike(r"\d"), t).when(t.endswith("ului"), F.left(t, n - 3)).when(t.endswith("ul"), F.left(t, n - 1))
             .when(t.endswith("ilor") & (n > 6), F.left(t, n - 4)).otherwise(t))
@@ -66,57 +65,48 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(total > 0, inter / total).otherwise(0.0)
 
 
-def _osa_batch(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
-    """Restricted Damerau distance of the pairs that a bound could not settle; null inputs stay null."""
-    out = []
-    for x, y, lim in zip(a, b, limit):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        before, row = None, list(range(len(y) + 1))
-        for i, cx in enumerate(x, 1):
-            new = [i]
-            for j, cy in enumerate(y, 1):
-                v = min(row[j] + 1, new[-1] + 1, row[j - 1] + (cx != cy))
-                if i > 1 and j > 1 and cx == y[j - 2] and x[i - 2] == cy:
-                    v = min(v, before[j - 2] + 1)
-                new.append(v)
-            before, row = row, new
-        out.append(min(row[-1], lim + 1))
-    return pd.Series(out, dtype="Int32")
-
-
-_osa = F.pandas_udf(_osa_batch, T.IntegerType())
+def swapped(a: Column, b: Column) -> Column:
+    """Whether one swap of neighbours turns a into b."""
+    n = F.length(a)
+    at = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(
+        F.left(a, i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n)) == b)
+    return (n == F.length(b)) & (n > 1) & (a != b) & at
 
 
-def edit_distance(a: Column, b: Column, limit: int) -> Column:
-    """Restricted Damerau distance (an adjacent swap counts once), limit + 1 when larger.
+def edit_distance(a: Column, b: Column, limit: int = 2) -> Column:
+    """Restricted Damerau distance (an adjacent swap counts once) up to a limit of two, limit + 1 when larger.
 
-    The built-in Levenshtein distance L settles most pairs: L <= 1 is exact, and as a swap saves at
-    most half, L > 2 * limit is too far. Only the rest goes to the Arrow batch function.
+    A swap costs the built-in Levenshtein distance two, so one of two or less is lowered by a swap only, and one of
+    three or four is within two only if a swap stands between parts that differ by one edit or one more swap.
     """
-    lev = F.levenshtein(a, b)
-    far = (F.abs(F.length(a) - F.length(b)) > limit) | (lev > 2 * limit)
-    open_ = ~far & (lev > 1)
-    d = _osa(F.when(open_, a), F.when(open_, b), F.lit(limit))
-    return F.when(far, limit + 1).when(lev <= 1, lev).otherwise(d)
+    if limit not in (1, 2):
+        raise ValueError("limits of one and two only")
+    lev, n = F.levenshtein(a, b, 2 * limit), F.length(a)
+    part = lambda i, j: F.when(F.substring(a, i, F.lit(1)).eqNullSafe(F.substring(b, j + 1, F.lit(1))) & F.substring(a, i + 1, F.lit(1)).eqNullSafe(F.substring(b, j, F.lit(1))), F.when(
+        F.levenshtein(F.left(a, i - 1), F.left(b, j - 1)) + F.levenshtein(F.substring(a, i + 2, n), F.substring(b, j + 2, n + 2)) <= 1, True).otherwise(
+        (F.left(a, i - 1) == F.left(b, j - 1)) & swapped(F.substring(a, i + 2, n), F.substring(b, j + 2, n + 2)))).otherwise(False)
+    inside = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.exists(
+        F.array(i - 1, i, i + 1), lambda j: (j >= 1) & (i < n) & (j < F.length(b)) & part(i, j)))
+    two = F.when(lev < 0, limit + 1).when(lev <= 1, lev).when(swapped(a, b), 1)
+    if limit == 1:
+        return two.otherwise(F.when(a.isNotNull() & b.isNotNull(), 2))
+    return two.when(lev == 2, 2).when(inside, 2).otherwise(F.when(a.isNotNull() & b.isNotNull(), 3))
 
 
 def within_one(a: Column, b: Column) -> Column:
-    """Edit distance at most one, built-ins only: one edit or one adjacent swap."""
-    n = F.length(a)
-    swaps = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(
-        F.left(a, i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n)) == b)
-    return (F.levenshtein(a, b) <= 1) | ((n == F.length(b)) & (n > 1) & (F.levenshtein(a, b) == 2) & swaps)
+    """Edit distance at most one: one edit or one adjacent swap."""
+    lev = F.levenshtein(a, b, 2)
+    return F.when((lev >= 0) & (lev <= 1), True).when(lev < 0, False).otherwise(swapped(a, b))
 
 
-def token_match(q: Column, n: Column) -> Column:
-    """How well a query token matches a name token: 1 exact to 0 none."""
+def token_match(q: Column, n: Column, q_stem: Column | None = None, n_stem: Column | None = None) -> Column:
+    """How well a query token matches a name token: 1 exact to 0 none. The stems may be there already."""
+    q_stem, n_stem = stem(q) if q_stem is None else q_stem, stem(n) if n_stem is None else n_stem
     lq, ln = F.length(q), F.length(n)
     d = edit_distance(q, n, 2)
     typo = (F.when(d == 1, 0.8).when((d == 2) & (lq >= 6), 0.6)
             .when((ln > lq) & within_one(q, F.left(n, lq)) & (q != F.left(n, lq)), 0.55).otherwise(0.0))
-    return (F.when(q == n, 1.0).when(stem(q) == stem(n), 0.95).when((lq >= 3) & n.startswith(q), 0.6 + 0.3 * (lq / ln))
+    return (F.when(q == n, 1.0).when(q_stem == n_stem, 0.95).when((lq >= 3) & n.startswith(q), 0.6 + 0.3 * (lq / ln))
             .when(lq >= 4, typo).otherwise(0.0))
 
 

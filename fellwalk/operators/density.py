@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from fellwalk.functions import risk as R
 from fellwalk.functions.geo import clamp
 from fellwalk.operators.cells import box_cells
+from fellwalk.operators.ordered import ranked_sums
 from fellwalk.operators.spatial import points_in_polygons
 
 KM = 111.32
@@ -285,31 +289,60 @@ def focal_gauss(cells: DataFrame, value: str, sigma: tuple[float, float], shape:
     return out.withColumnRenamed("_v", f"{value}_gauss")
 
 
+def row_distances(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Least sqrt((x - x_i)^2 + g_i^2) at every x, by the lower envelope of the parabolas; x rises, NaN in g is no parabola."""
+    at, up = x[~np.isnan(g)].tolist(), (g[~np.isnan(g)] ** 2).tolist()
+    if not at:
+        return np.full(len(x), np.nan)
+    low, start = [0], [-math.inf]  # parabolas of the envelope, and where each begins
+    for k in range(1, len(at)):
+        while True:
+            i = low[-1]
+            cross = ((up[k] + at[k] * at[k]) - (up[i] + at[i] * at[i])) / (2 * (at[k] - at[i]))
+            if cross > start[-1]:
+                break
+            low.pop()
+            start.pop()
+        low.append(k)
+        start.append(cross)
+    own = np.array(low)[np.searchsorted(np.array(start), x, "right") - 1]
+    return np.sqrt((x - np.array(at)[own]) ** 2 + np.array(up)[own])
+
+
 def distance_to_mask(cells: DataFrame, mask: Column, km_x: float, km_y: float, cap: float | None = None) -> DataFrame:
-    """Euclidean distance (km) of every cell to the nearest mask cell; null, or `cap`, where there is none.
+    """Exact Euclidean distance (km) of every cell of a dense grid to the nearest mask cell; null, or `cap`, where there is none.
 
-    First the nearest mask cell in the own column, then the columns that can still beat the bound
-    found in the own row. Each cell looks only as far as its own bound.
+    One axis after the other: the nearest mask cell of the own column, then along each row the lower envelope of the
+    parabolas that the columns put up. The work is linear in the cells, however far the mask is; a task holds one row.
     """
     base = cells.select("cx", "cy", mask.alias("_m"))
     up = W.partitionBy("cx").orderBy("cy").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy("cx").orderBy(F.desc("cy")).rowsBetween(W.unboundedPreceding, 0)
     at = F.when(F.col("_m"), F.col("cy"))
     g = base.withColumns({"_a": F.last(at, True).over(up), "_b": F.last(at, True).over(down)})
-    g = g.select("cx", "cy", (F.least(F.col("cy") - F.col("_a"), F.col("_b") - F.col("cy")) * km_y).alias("g"))
-    left = W.partitionBy("cy").orderBy("cx").rowsBetween(W.unboundedPreceding, 0)
-    right = W.partitionBy("cy").orderBy(F.desc("cx")).rowsBetween(W.unboundedPreceding, 0)
-    here = F.when(F.col("g").isNotNull(), F.struct("cx", "g"))
-    b = g.withColumns({"_l": F.last(here, True).over(left), "_r": F.last(here, True).over(right)})
-    bound = F.least(F.hypot((F.col("cx") - F.col("_l.cx")) * km_x, F.col("_l.g")), F.hypot((F.col("_r.cx") - F.col("cx")) * km_x, F.col("_r.g")))
-    if cap is not None:
-        bound = F.least(bound, F.lit(cap))
-    b = b.select("cx", "cy", bound.alias("ub"))
-    reach = F.floor(F.col("ub") / km_x + 1e-9).cast("int")
-    cand = b.where("ub is not null").withColumn("sx", F.explode(F.sequence(F.col("cx") - reach, F.col("cx") + reach)))
-    src = g.where("g is not null").select(F.col("cx").alias("sx"), "cy", "g")
-    d = (cand.join(src, ["sx", "cy"]).groupBy("cx", "cy").agg(F.min(F.hypot((F.col("cx") - F.col("sx")) * km_x, F.col("g"))).alias("d")))
-    out = b.join(d, ["cx", "cy"], "left").select("cx", "cy", F.least("d", "ub").alias("dist_km"))
+    g = g.select("cx", "cy", (F.least(F.col("cy") - F.col("_a"), F.col("_b") - F.col("cy")) * km_y).cast("double").alias("g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            row = pa.Table.from_batches(parts).combine_chunks()
+            x = row["cx"].to_numpy().astype(float) * km_x
+            d = row_distances(x, row["g"].to_numpy().astype(float))
+            return pa.record_batch([row["cx"].combine_chunks(), row["cy"].combine_chunks(), pa.array(d, from_pandas=True)], names=["cx", "cy", "dist_km"])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            y = b.column(1).to_numpy()
+            edge = np.flatnonzero(np.r_[True, y[1:] != y[:-1], True]) if len(y) else []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                if held and held[-1].column(1)[0].as_py() != y[lo]:
+                    yield done(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield done(held)
+    kinds = dict(g.dtypes)
+    rows = g.repartition("cy").sortWithinPartitions("cy", "cx")
+    out = rows.mapInArrow(run, f"cx {kinds['cx']}, cy {kinds['cy']}, dist_km double")
     return out.withColumn("dist_km", F.least(F.coalesce("dist_km", F.lit(cap)), F.lit(cap))) if cap is not None else out
 
 
@@ -400,19 +433,15 @@ def redistribute_fine(habitat: DataFrame, coarse: DataFrame, k: int = 5) -> Data
     return f.join(scale, ["px", "py"]).select("cx", "cy", "px", "py", (F.col("h") * F.col("scale")).alias("density"))
 
 
-def auc(rows: DataFrame, score: str, label: str, buckets: int = 4096) -> DataFrame:
-    """Area under the ROC curve with ties counted half; ranks are prefix sums over score buckets."""
-    lo, hi = rows.agg(F.min(score), F.max(score)).first()
-    span = (hi - lo) if lo is not None and hi > lo else 1.0
-    b = F.least(F.floor((F.col(score) - F.lit(lo)) / span * buckets), F.lit(buckets - 1))
-    per = rows.groupBy(b.alias("b"), F.col(score).alias("s")).agg(
+def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """Area under the ROC curve with ties counted half; null for one class only.
+
+    Equal scores are counted together; the negatives below each score are running sums over ranges of the score.
+    """
+    per = rows.groupBy(F.lit(0).alias("k"), F.col(score).alias("s")).agg(
         F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("neg"))
-    tot = per.groupBy("b").agg(F.sum("neg").alias("n"))
-    # at most `buckets` rows meet in this one window
-    off = tot.select("b", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    w = W.partitionBy("b").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    u = per.join(off, "b").select("pos", "neg", (F.col("pos") * (F.col("off") + F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("neg") / 2)).alias("u"))
-    return u.agg((F.sum("u") / (F.sum("pos") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    u = ranked_sums(per.withColumn("own", F.col("neg")), ["k"], ["s"], {"neg": "below"}).select("pos", "own", (F.col("pos") * (F.col("below") - F.col("own") / 2)).alias("u"))
+    return u.agg((F.sum("u") / F.nullif(F.sum("pos") * F.sum("own"), F.lit(0))).alias("auc"), F.sum("pos").alias("positives"), F.sum("own").alias("negatives"))
 
 
 def validate_density(cells: DataFrame, records: DataFrame, grid: Grid, k: int = 20) -> DataFrame:

@@ -218,11 +218,12 @@ def synthesise_queries(entries: DataFrame, n: int, seed: int) -> DataFrame:
     return e.select("id", "rep", "template", "cat", text.alias("query"))
 
 
-def ranker_lists(features: DataFrame, truth: DataFrame, keep: int = 80) -> DataFrame:
-    """Per query the hardest `keep` candidates plus positives, with normalised targets. features(query_id, id, score), truth(query_id, id)."""
+def ranker_lists(features: DataFrame, truth: DataFrame, keep: int | None = None) -> DataFrame:
+    """Per query the candidates (with `keep` the hardest so many, plus positives), with normalised targets. features(query_id, id, score), truth(query_id, id)."""
     f = features.join(truth.withColumn("pos", F.lit(1.0)), ["query_id", "id"], "left").na.fill(0.0, ["pos"])
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    f = f.withColumn("r", F.row_number().over(w)).where((F.col("r") <= keep) | (F.col("pos") > 0))
+    if keep:
+        w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        f = f.withColumn("r", F.row_number().over(w)).where((F.col("r") <= keep) | (F.col("pos") > 0)).drop("r")
     return f.withColumn("target", F.col("pos") / F.nullif(F.sum("pos").over(W.partitionBy("query_id")), F.lit(0.0)))
 
 

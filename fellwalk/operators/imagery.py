@@ -39,9 +39,10 @@ def paint_order(tiles: DataFrame, ranked: DataFrame, size: float = 0.5) -> DataF
     return hit.select(*keys, F.col("b_id").alias("scene_id"), F.row_number().over(w).alias("paint"))
 
 
-def imagery_dates(views: DataFrame, ranked: DataFrame, first: int = 8) -> DataFrame:
-    """Newest and oldest acquisition among the first scenes painted in each view."""
-    o = paint_order(views, ranked).where(F.col("paint") <= first).join(ranked.select(F.col("id").alias("scene_id"), "acquired_at"), "scene_id")
+def imagery_dates(views: DataFrame, ranked: DataFrame, first: int | None = None) -> DataFrame:
+    """Newest and oldest acquisition among the scenes painted in each view; `first` keeps a display to the first few."""
+    o = paint_order(views, ranked)
+    o = (o.where(F.col("paint") <= first) if first else o).join(ranked.select(F.col("id").alias("scene_id"), "acquired_at"), "scene_id")
     return o.groupBy("view_id").agg(F.max("acquired_at").alias("newest"), F.min("acquired_at").alias("oldest"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from fellwalk.operators.fixpoint import cut
+
 CHUNK = 4096
 
 
@@ -51,3 +53,13 @@ def running_distance(df: DataFrame, keys: list[str], seq: str, value: str, alias
 def spread_key(df: DataFrame, parts: int = 16):
     """A deterministic salt for replicated-side joins."""
     return F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
+
+
+def ranked_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Inclusive running sums along `order`, for groups of any size.
+
+    Rows are dealt by ranges of (keys, order), so that no task gets a whole group; each range is summed on its own
+    after the totals of the ranges before it. Columns of `order` should tell a group's rows apart: equal rows share a range.
+    """
+    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    return running_sums(dealt, keys, order, sums, F.col("_range")).drop("_range")

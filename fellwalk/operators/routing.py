@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from fellwalk.functions.geo import clamp, haversine_m
 from fellwalk.operators.cells import nearest_points, nearest_segments
 from fellwalk.operators.density import Grid, local_density_coarse
 from fellwalk.operators.fixpoint import cut
-from fellwalk.operators.ordered import CHUNK, running_sums, with_neighbour
+from fellwalk.operators.ordered import CHUNK, ranked_sums, running_sums, with_neighbour
+from fellwalk.operators.overlay import ancestors, contract
 from fellwalk.operators.spatial import fill_elevation_gaps, line_segments
 
 
@@ -71,59 +75,71 @@ def snap_endpoints(requests: DataFrame, nodes: DataFrame, max_m: float = 500.0)
         "req", F.col("node_id_0").alias("source"), F.col("node_id_1").alias("target"), F.col("dist_m_0").alias("snap_from"), F.col("dist_m_1").alias("snap_to"))
 
 
-def shortest_paths(requests: DataFrame, edges: DataFrame, max_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class RouteTree:
+    """steps(source, node, dist, prev, via, hops) between junctions, and the overlay's members that unpack them."""
+
+    steps: DataFrame
+    members: DataFrame
+
+
+def shortest_paths(requests: DataFrame, edges: DataFrame) -> tuple[DataFrame, RouteTree]:
     """Least-cost distances for many source/target pairs at once.
 
-    requests(req, source, target); edges(src, dst, way_id, cost). Returns (costs(req, cost), tree) where
-    tree(source, node, dist, prev, way_id) reaches every needed target. Sources share their work. Every
-    round relaxes only nodes that improved and are cheaper than the dearest open target of the source.
-    Ties prefer the smaller (previous node, way).
+    requests(req, source, target); edges(src, dst, way_id, cost), costs not negative. Returns (costs(req, cost),
+    tree); the tree reaches every needed target. The search runs on the overlay graph, whose junctions are those
+    of the network and the ends of the requests; sources share it. Every round relaxes only nodes that improved
+    and are cheaper than the dearest open target of the source; every eighth round the sources without such nodes
+    leave the working table. It ends when nothing improves. Ties prefer the smaller (previous node, junction).
     """
     pairs = cut(requests.select("source", "target").distinct())
-    best = (edges.groupBy("src", "dst").agg(F.min(F.struct("cost", "way_id")).alias("e"))
-            .select("src", "dst", F.col("e.cost").alias("cost"), F.col("e.way_id").alias("way_id")))
-    best = cut(best.repartition("src"))
-    dist = cut(pairs.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("prev"),
-                            F.lit(None).cast("bigint").alias("way_id")).distinct().withColumn("fresh", F.lit(True)))
-    for _ in range(max_rounds):
+    graph = contract(edges, pairs.select(F.col("source").alias("node")).union(pairs.select("target")))
+    cols = ("dist", "prev", "via", "hops")
+    dist = cut(pairs.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), *[F.lit(None).cast("bigint").alias(c) for c in cols[1:]]).distinct().withColumn("fresh", F.lit(True)))
+    done = []
+    for k in count(1):
         reached = pairs.join(dist.select("source", F.col("node").alias("target"), "dist"), ["source", "target"], "left")
         bound = reached.groupBy("source").agg(F.max(F.coalesce("dist", F.lit(float("inf")))).alias("bound"))
         front = dist.where("fresh").join(bound, "source").where(F.col("dist") < F.col("bound"))
-        step = (front.select("source", F.col("node").alias("src"), "dist", "bound").join(best, "src")
+        if k % 8 == 0:
+            busy = cut(front.select("source").distinct())
+            done.append(cut(dist.join(busy, "source", "left_anti").drop("fresh")))
+            dist = cut(dist.join(busy, "source", "left_semi"))
+            front = dist.where("fresh").join(bound, "source").where(F.col("dist") < F.col("bound"))
+        step = (front.select("source", F.col("node").alias("src"), "dist", "bound").join(graph.shortcuts, "src")
                 .withColumn("d", F.col("dist") + F.col("cost")).where(F.col("d") <= F.col("bound"))
                 .groupBy("source", F.col("dst").alias("node"))
-                .agg(F.min(F.struct(F.col("d").alias("dist"), F.col("src").alias("prev"), "way_id")).alias("n")))
+                .agg(F.min(F.struct(F.col("d").alias("dist"), "via", F.col("src").alias("prev"), "hops")).alias("n")))
         merged = dist.join(step, ["source", "node"], "full")
         better = F.col("n.dist").isNotNull() & (F.col("dist").isNull() | (F.col("n.dist") < F.col("dist")))
-        new = cut(merged.select("source", "node", *[F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("dist", "prev", "way_id")],
-                                better.alias("fresh")))
-        dist = new
+        dist = cut(merged.select("source", "node", *[F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in cols], better.alias("fresh")))
         if dist.where("fresh").isEmpty():
             break
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    costs = requests.join(dist.select("source", F.col("node").alias("target"), "dist"), ["source", "target"]).select("req", F.col("dist").alias("cost"))
-    return costs, dist.drop("fresh")
-
-
-def backtrack(requests: DataFrame, tree: DataFrame, max_rounds: int = 2000) -> DataFrame:
-    """Path rows (req, back, node, prev, way_id), back = steps from the target; the source row has no prev."""
-    tree = cut(tree)
-    cur = cut(requests.select("req", "source", F.col("target").alias("node")).join(tree, ["source", "node"]).withColumn("back", F.lit(0)))
-    parts = [cur]
-    for _ in range(max_rounds):
-        nxt = cut(cur.where("prev is not null").select("req", "source", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
-                  .join(tree, ["source", "node"]))
-        if nxt.isEmpty():
-            break
-        parts.append(nxt)
-        cur = nxt
-    else:
-        raise RuntimeError("path longer than the round limit")
-    out = parts[0].select("req", "back", "node", "prev", "way_id")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("req", "back", "node", "prev", "way_id"))
-    return out
+    steps = dist.drop("fresh")
+    for part in done:
+        steps = steps.unionByName(part)
+    costs = requests.join(steps.select("source", F.col("node").alias("target"), "dist"), ["source", "target"]).select("req", F.col("dist").alias("cost"))
+    return costs, RouteTree(steps, graph.members)
+
+
+def backtrack(requests: DataFrame, tree: RouteTree) -> DataFrame:
+    """Path rows (req, back, node, prev, way_id), back = edges from the target; the source row has no prev.
+
+    Junctions by pointer doubling over the tree, then the edges of the chains between them.
+    """
+    steps = tree.steps.join(requests.select("source").distinct(), "source", "left_semi")
+    start = requests.select(F.col("req").alias("key"), "source", F.col("target").alias("node"), F.lit(0).cast("long").alias("back")).join(steps.select("source", "node"), ["source", "node"], "left_semi")
+    path = cut(ancestors(start, steps).join(steps, ["source", "node"]).select(F.col("key").alias("req"), "back", "node", "prev", "via"))
+    unpacked = path.where("prev is not null").select("req", F.col("back").alias("_b"), "via", F.col("node").alias("end")).join(tree.members, ["via", "end"])
+    rows = unpacked.select("req", (F.col("_b") + F.col("left") - 1).alias("back"), F.col("dst").alias("node"), F.col("src").alias("prev"), "way_id")
+    return rows.unionByName(path.where("prev is null").select("req", "back", "node", "prev", F.lit(None).cast("bigint").alias("way_id")))
+
+
+def plan_routes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, max_m: float = 500.0) -> DataFrame:
+    """(req, source, target, cost) of requests(req, from_lng, from_lat, to_lng, to_lat) that can be snapped and have a route."""
+    snapped = cut(snap_endpoints(requests, nodes, max_m))
+    costs, _ = shortest_paths(snapped, edges)
+    return snapped.join(costs, "req").select("req", "source", "target", "cost")
 
 
 def route_rows(path: DataFrame, table: DataFrame) -> DataFrame:
@@ -149,25 +165,27 @@ def route_summary(rows: DataFrame, mode: Column, hidden_at: float = 0.6) -> Data
     return agg.join(ways.groupBy("req").agg(text.alias("way_ids")), "req")
 
 
-def route_exposure(vertices: DataFrame, route: str, cells: DataFrame, grid: Grid, season: Column, sigma_km: float = 0.3) -> DataFrame:
-    """Risk index of the mean density over every max(1, n/60)-th vertex."""
-    n = vertices.groupBy(route).agg(F.count(F.lit(1)).alias("n"))
-    v = vertices.join(n, route).where(F.col("seq") % F.greatest(F.lit(1), F.floor(F.col("n") / 60)) == 0)
+def route_exposure(vertices: DataFrame, route: str, cells: DataFrame, grid: Grid, season: Column, sigma_km: float = 0.3, points: int | None = None) -> DataFrame:
+    """Risk index of the mean density over the vertices; `points` thins long routes to about as many."""
+    v = vertices
+    if points:
+        n = vertices.groupBy(route).agg(F.count(F.lit(1)).alias("n"))
+        v = vertices.join(n, route).where(F.col("seq") % F.greatest(F.lit(1), F.floor(F.col("n") / points)) == 0)
     uniq = v.select("lng", "lat").distinct().withColumn("pid", F.struct("lng", "lat"))
     d = local_density_coarse(uniq, "pid", cells, grid, sigma_km).select("pid.lng", "pid.lat", "density")
     out = v.join(d, ["lng", "lat"]).groupBy(route).agg(F.avg("density").alias("density"))
     return out.withColumn("index", K.risk_index(F.col("density") * season))
 
 
-def route_profile(vertices: DataFrame, route: str) -> DataFrame:
-    """Profile points cum_m, ele_filled of every max(1, n/200)-th vertex; routes with fewer than two heights or 50 m give none."""
+def route_profile(vertices: DataFrame, route: str, points: int | None = None) -> DataFrame:
+    """Profile points cum_m, ele_filled of every vertex; `points` thins long routes to about as many for display. Routes with fewer than two heights or 50 m give none."""
     filled = fill_elevation_gaps(vertices, [route])
     step = with_neighbour(filled, [route], "seq", {"lng": "_px", "lat": "_py"}, offset=-1)
     step = step.withColumn("step_m", F.coalesce(haversine_m("_px", "_py", "lng", "lat"), F.lit(0.0))).drop("_px", "_py")
     cum = running_sums(step, [route], ["seq"], {"step_m": "cum_m"}, F.floor(F.col("seq") / CHUNK))
     stats = step.groupBy(route).agg(F.count(F.lit(1)).alias("n"), F.count("ele").alias("known"), F.sum("step_m").alias("length_m"),
                                     F.min("ele_filled").alias("min_ele"), F.max("ele_filled").alias("max_ele")).where("known >= 2 and length_m >= 50")
-    every = F.greatest(F.lit(1), F.floor(F.col("n") / 200))
+    every = F.greatest(F.lit(1), F.floor(F.col("n") / points)) if points else F.lit(1)
     return cum.join(stats, route).where((F.col("seq") % every == 0) | (F.col("seq") == F.col("n") - 1)).select(
         route, "seq", "cum_m", "ele_filled", "length_m", "min_ele", "max_ele")
 
@@ -236,11 +254,12 @@ def good_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
-    """sorted[floor(n/2)] per group by rank, without gathering a group."""
+    """sorted[floor(n/2)] per group by rank; a group of any size is ranked by ranges of the value."""
+    v = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    v = ranked_sums(v, keys, [value], {"_c": "_r"})
     n = rows.groupBy(*keys).agg(F.count(value).alias("_n"))
-    w = W.partitionBy(*keys).orderBy(value)
-    r = rows.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w).alias("_r")).join(n, keys)
-    return r.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias(alias))
+    reached = v.join(n, keys).where(F.col("_r") > F.floor(F.col("_n") / 2))
+    return reached.groupBy(*keys).agg(F.min(value).alias(alias))
 
 
 def trace_mode(chunks: DataFrame, min_chunks: int = 3) -> DataFrame:

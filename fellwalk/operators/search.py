@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fellwalk.functions import text as X
 from fellwalk.functions.geo import planar_km, round_half_up
 from fellwalk.operators.fixpoint import cut
+from fellwalk.operators.matching import match_table
 
 # Categories in order, cue words, stop / near / me words.
 CATS = ["city", "town", "village", "district", "peak", "saddle", "ridge", "lake", "river", "waterfall", "spring", "cave", "gorge", "valley", "forest", "meadow",
@@ -58,6 +59,7 @@ GENERIC_EXTRA = "de la din lui si cu mare mic mica vf sf nr".split()
 PLACE_BONUS = {"city": 3.0, "town": 2.5, "village": 1.2, "district": 1.5, "park": 1.5, "ridge": 1.0, "peak": 1.0, "lake": 1.0, "street": -3.0}
 SETTLEMENTS = ["city", "town", "village", "district"]
 HOME = (25.5887, 45.6427)
+HOME_COUNTY = "Brașov"
 #: Parts of a posting list.
 SALTS = 16
 
@@ -89,7 +91,7 @@ def is_generic(stem: Column) -> Column:
 
 
 def _cue(stem: Column) -> Column:
-    return F.try_element_at(F.create_map(*[x for k, v in CUE_CATS.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))]), stem)
+    return F.transform(F.split(F.try_element_at(X.literal_map({k: " ".join(map(str, v)) for k, v in CUE_CATS.items()}), stem), " "), lambda c: c.cast("int"))
 
 
 def rule_parse(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -168,56 +170,59 @@ def reconcile_parse(model: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 # ---------------------------------------------------------------- index
 
 def build_search_index(entries: DataFrame) -> dict[str, DataFrame]:
-    """entries(id, name, alt array, cat int, lng, lat, imp) -> names, postings, vocab (df), trigrams."""
+    """entries(id, name, alt array, cat int, lng, lat, imp) -> names, entry_names (nm: the names of an entry in order), postings, vocab (df)."""
     all_names = F.concat(F.array("name"), F.coalesce("alt", F.array().cast("array<string>")))
     n = entries.select("id", "cat", F.posexplode(all_names).alias("idx", "nm")).withColumn("tokens", X.tokens(F.col("nm")))
-    n = n.where(F.size("tokens") > 0).withColumn("stems", F.transform("tokens", X.stem)).select("id", "cat", "idx", "tokens", "stems")
+    n = cut(n.where(F.size("tokens") > 0).withColumn("stems", F.transform("tokens", X.stem)).select("id", "cat", "idx", "tokens", "stems"))
     settlement = F.get(F.array(*[F.lit(c) for c in CATS]), F.col("cat")).isin(*SETTLEMENTS)
     silent = (F.col("idx") == 0) & ~settlement & F.forall("stems", is_generic)
     post = n.where(~silent).select("id", F.explode("stems").alias("token")).distinct()
     vocab = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    tri = vocab.where(F.length("token") >= 4).select("token", F.explode(X.trigrams(F.col("token"))).alias("gram"))
-    return {"names": n, "postings": post, "vocab": vocab, "trigrams": tri}
+    own = n.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "stems", "tokens"))).alias("nm"))
+    return {"names": n, "entry_names": own, "postings": post, "vocab": vocab}
 
 
 def idf(n_entries: Column, df: Column) -> Column:
     return F.log(1 + n_entries / (1 + F.coalesce(df, F.lit(0))))
 
 
-def expand_tokens(words: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
-    """(word, typing, token, match) for distinct words(word, typing): exact and stem, prefix, and typo matches."""
-    vocab = index["vocab"].select("token")
-    w = words.select("word", "typing").distinct().withColumn("stem", X.stem(F.col("word")))
-    exact = w.select("word", "typing", F.explode(F.array_distinct(F.array("stem", "word"))).alias("token")).join(vocab, "token", "left_semi").withColumn("match", F.lit(1.0))
-    pw = w.where((F.length("word") >= 2) & (F.col("typing") | (F.length("word") >= 3))).withColumn("p2", F.left("word", F.lit(2)))
-    pre = pw.join(vocab.withColumn("p2", F.left("token", F.lit(2))), "p2").where(F.col("token").startswith(F.col("word")))
-    pre = pre.select("word", "typing", "token")
-    tw = w.where(F.length("word") >= 4).select("word", "typing", X.trigrams(F.col("word")).alias("g"))
-    grams = tw.select("word", "typing", F.size("g").alias("qn"), F.explode("g").alias("gram"))
-    c = grams.join(index["trigrams"], "gram").groupBy("word", "typing", "qn", "token").agg(F.count(F.lit(1)).alias("c"))
-    c = c.where((F.col("c") >= F.greatest(F.lit(2), F.col("qn") * 0.35)) & (F.abs(F.length("token") - F.length("word")) <= 3)).select("word", "typing", "token")
-    # the two lists share one scoring pass over distinct pairs
-    fuzzy = pre.withColumn("pre", F.lit(True)).unionByName(c.withColumn("pre", F.lit(False))).groupBy("word", "typing", "token").agg(F.max("pre").alias("pre"))
-    exact = cut(exact.select("word", "typing", "token", "match"))
-    fuzzy = fuzzy.join(exact, ["word", "typing", "token"], "left_anti").withColumn("match", X.token_match(F.col("word"), F.col("token")))
-    return exact.select("word", "typing", "token", "match").unionByName(fuzzy.where("match > 0").select("word", "typing", "token", "match"))
+def expand_tokens(words: DataFrame, index: dict[str, DataFrame], table: DataFrame | None = None) -> DataFrame:
+    """(word, typing, token, match) for distinct words(word, typing): exact and stem, prefix, and typo matches.
 
-
-def retrieve(qwords: DataFrame, index: dict[str, DataFrame], entries: DataFrame, typing_last: bool = True) -> DataFrame:
-    """All entries that a query's words reach, by summed match x max(1, idf). qwords(query_id, pos, word, last) -> query_id, id, retrieval."""
-    qw = qwords.select("query_id", "pos", "word", (F.col("last") if typing_last else F.lit(False)).alias("typing"))
-    ex = expand_tokens(qw.select("word", "typing"), index)
-    vocab = index["vocab"]
+    A typo match shares two trigrams and 35 % of the word's with a token at most three letters longer or shorter.
+    `table` may hold the words' `match_table`.
+    """
+    w = words.select("word", "typing").distinct()
+    table = match_table(w, index["vocab"]) if table is None else table
+    word, token = F.col("word"), F.col("token")
+    exact = token.isin(word) | (token == X.stem(word))
+    prefix = token.startswith(word) & (F.length(word) >= 2) & (F.col("typing") | (F.length(word) >= 3))
+    grams = X.trigrams(word)
+    shared = F.size(F.array_intersect(grams, X.trigrams(token)))
+    typo = (F.length(word) >= 4) & (F.length(token) >= 4) & (F.abs(F.length(token) - F.length(word)) <= 3) & (shared >= F.greatest(F.lit(2), F.size(grams) * 0.35))
+    pairs = table.join(index["vocab"].select("token"), "token", "left_semi").join(w, "word")
+    kind = F.when(exact, 2).when(prefix, 1).when(typo, 1).otherwise(0)
+    return pairs.withColumn("_k", kind).where("_k > 0").select("word", "typing", "token", F.when(F.col("_k") == 2, 1.0).otherwise(F.col("m")).alias("match"))
+
+
+def reach(words: DataFrame, expanded: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
+    """(query_id, list, id, retrieval): all entries that the words of a query's list reach, by summed match x max(1, idf). words(query_id, list, pos, word, typing)."""
     total = entries.agg(F.count(F.lit(1))).scalar()
-    weight = qw.withColumn("token", X.stem(F.col("word"))).join(vocab, "token", "left").withColumn("w", F.greatest(F.lit(1.0), idf(total, F.col("df")))).select("query_id", "pos", "word", "typing", "w")
+    weight = words.withColumn("token", X.stem(F.col("word"))).join(index["vocab"], "token", "left").withColumn("w", F.greatest(F.lit(1.0), idf(total, F.col("df")))).select("query_id", "list", "pos", "word", "typing", "w")
     # a word of very many entries has a long posting list: its rows are dealt by a salt of the entry
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     postings = index["postings"].withColumn("salt", salt)
-    ex = ex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    ex = expanded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     # entries per distinct word first, so repeated words of a query log share the posting join
     per_word = ex.join(postings, ["token", "salt"]).groupBy("word", "typing", "id").agg(F.max("match").alias("m"))
-    hits = weight.join(per_word, ["word", "typing"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("m") * F.col("w")), 9).alias("retrieval"))
-    return hits.join(entries.select("id"), "id", "left_semi").select("query_id", "id", "retrieval")
+    hits = weight.join(per_word, ["word", "typing"]).groupBy("query_id", "list", "id").agg(F.round(F.sum(F.col("m") * F.col("w")), 9).alias("retrieval"))
+    return hits.join(entries.select("id"), "id", "left_semi").select("query_id", "list", "id", "retrieval")
+
+
+def retrieve(qwords: DataFrame, index: dict[str, DataFrame], entries: DataFrame, typing_last: bool = True) -> DataFrame:
+    """All entries that a query's words reach, by summed match x max(1, idf). qwords(query_id, pos, word, last) -> query_id, id, retrieval."""
+    qw = qwords.select("query_id", F.lit("all").alias("list"), "pos", "word", (F.col("last") if typing_last else F.lit(False)).alias("typing"))
+    return reach(qw, expand_tokens(qw.select("word", "typing"), index), index, entries).drop("list")
 
 
 def near(points: DataFrame, key: str, entries: DataFrame, km: float) -> DataFrame:
@@ -239,74 +244,101 @@ def browse(points: DataFrame, key: str, entries: DataFrame, cats: list[int], km:
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(key, "id", "score", "rank")
 
 
-def word_matches(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, id, idx, pos, word, last, j, name_stem, m): every query word against every token of the entry's names.
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    pairs(query_id, id, pos, word, last). Distinct token pairs are scored once.
-    """
-    tok = names.select("id", "idx", F.posexplode("stems").alias("j", "name_stem"))
-    rows = cut(pairs.join(tok, "id"))
-    d = rows.select("word", "name_stem").distinct().withColumn("m0", X.token_match(F.col("word"), F.col("name_stem")))
-    rows = rows.join(d, ["word", "name_stem"])
-    lift = F.col("last") & F.col("name_stem").startswith(F.col("word"))
-    return rows.withColumn("m", F.when(lift, F.greatest("m0", F.lit(0.9))).otherwise(F.col("m0")))
 
+def word_match(word: Column, token: Column) -> Column:
+    """The match of a query word, which carries its own map of tokens, and a name token."""
+    return F.coalesce(F.try_element_at(word["m"], token), F.lit(0.0))
 
-def coverage(pairs: DataFrame, names: DataFrame) -> DataFrame:
+
+def coverage(words: Column, names: Column) -> Column:
     """Best share of query words matched >= 0.8 over an entry's names."""
-    m = word_matches(pairs, names)
-    per = m.groupBy("query_id", "id", "idx", "pos").agg(F.max((F.col("m0") >= 0.8).cast("double")).alias("hit"))
-    return per.groupBy("query_id", "id", "idx").agg(F.avg("hit").alias("c")).groupBy("query_id", "id").agg(F.max("c").alias("coverage"))
+    hit = lambda n: lambda w: F.exists(n["stems"], lambda t: word_match(w, t) >= 0.8)
+    return F.array_max(F.transform(names, lambda n: F.size(F.filter(words, hit(n))) / F.size(words)))
+
+
+#: The word lists of a parsed query that retrieval and features read.
+LISTS = ("match", "content", "anchor")
+
+
+def list_words(parsed: DataFrame) -> DataFrame:
+    """(query_id, list, pos, word, typing): the words of every list; the last one of `match` and `content` may be unfinished."""
+    lists = F.array(*[F.struct(F.lit(k).alias("list"), F.col(k).alias("words")) for k in LISTS])
+    rows = parsed.select("query_id", "typing", F.explode(lists).alias("l")).select("query_id", "typing", "l.list", F.size("l.words").alias("_n"), F.posexplode("l.words").alias("pos", "word"))
+    return rows.select("query_id", "list", "pos", "word", (F.col("typing") & (F.col("list") != "anchor") & (F.col("pos") == F.col("_n") - 1)).alias("typing"))
 
 
-def _words(parsed: DataFrame, col: str, typing: Column | None = None) -> DataFrame:
-    flag = typing if typing is not None else F.lit(True)
-    rows = parsed.select("query_id", flag.alias("_t"), F.size(col).alias("_n"), F.posexplode(col).alias("pos", "word"))
-    return rows.select("query_id", "pos", "word", (F.col("_t") & (F.col("pos") == F.col("_n") - 1)).alias("last"))
+def with_word_maps(parsed: DataFrame, words: DataFrame, table: DataFrame, index: dict[str, DataFrame], total: int) -> DataFrame:
+    """`parsed` with m_match, m_content and m_anchor: arrays of (word, last, idf, m), m mapping the tokens that match the word."""
+    maps = table.groupBy("word").agg(F.collect_list(F.struct("token", "m")).alias("pairs"))
+    rows = words.withColumn("token", X.stem(F.col("word"))).join(index["vocab"], "token", "left").join(maps, "word", "left")
+    rows = rows.select("query_id", "list", F.struct("pos", "word", F.col("typing").alias("last"), idf(total, F.col("df")).alias("idf"), F.coalesce("pairs", F.array().cast("array<struct<token:string,m:double>>")).alias("pairs")).alias("w"))
+    made = F.transform(F.array_sort(F.collect_list("w")), lambda w: F.struct(w["word"].alias("word"), w["last"].alias("last"), w["idf"].alias("idf"), F.map_from_entries(w["pairs"]).alias("m")))
+    rows = rows.groupBy("query_id", "list").agg(made.alias("ws"))
+    wide = rows.groupBy("query_id").agg(*[F.max_by("ws", F.when(F.col("list") == k, 1)).alias(f"m_{k}") for k in LISTS])
+    none = F.array().cast("array<struct<word:string,last:boolean,idf:double,m:map<string,double>>>")
+    return parsed.join(wide, "query_id", "left").withColumns({f"m_{k}": F.coalesce(f"m_{k}", none) for k in LISTS})
 
 
-def resolve_anchor(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
-    """(query_id, anchor_id) of the place named by the anchor words. parsed has focus_lng, focus_lat."""
-    w = _words(parsed.where(F.size("anchor") > 0), "anchor", F.lit(False))
-    r = retrieve(w, index, entries, typing_last=False)
-    cov = coverage(r.join(w, "query_id"), index["names"])
+def resolve_anchor(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """(query_id, anchor_id) of the place named by the anchor words. parsed has focus_lng, focus_lat; hits(query_id, id, retrieval) and m_anchor may be there already."""
+    if hits is None:
+        parsed, lists = prepared(parsed.withColumns({"match": F.array().cast("array<string>"), "content": F.array().cast("array<string>"), "typing": F.lit(False)}), index, entries)
+        hits = lists.where("list = 'anchor'")
     cat = F.get(F.array(*[F.lit(c) for c in CATS]), F.col("cat"))
     bonus = F.lit(0.0)
     for c, b in PLACE_BONUS.items():
         bonus = F.when(cat == c, b).otherwise(bonus)
-    s = (r.join(cov, ["query_id", "id"]).join(entries, "id").join(parsed.select("query_id", "focus_lng", "focus_lat"), "query_id")
-         .withColumn("s", F.col("retrieval") + F.when(F.col("coverage") >= 0.99, 3).otherwise(0) + bonus + F.col("imp") / 20
+    s = (hits.select("query_id", "id", "retrieval").join(entries, "id").join(index["entry_names"], "id").join(parsed.select("query_id", "focus_lng", "focus_lat", "m_anchor"), "query_id")
+         .withColumn("s", F.col("retrieval") + F.when(coverage(F.col("m_anchor"), F.col("nm")) >= 0.99, 3).otherwise(0) + bonus + F.col("imp") / 20
                      - 0.6 * F.log10(1 + planar_km("focus_lng", "focus_lat", "lng", "lat"))))
     return s.groupBy("query_id").agg(F.max(F.struct(F.round("s", 9).alias("s"), "id")).alias("b")).select("query_id", F.col("b.id").alias("anchor_id"))
 
 
+def prepared(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed queries with word maps, and the entries that each list of words reaches (query_id, list, id, retrieval)."""
+    words = cut(list_words(parsed))
+    table = cut(match_table(words, index["names"].select(F.explode("stems").alias("token"))))
+    total = entries.agg(F.count(F.lit(1))).scalar()
+    p = cut(with_word_maps(parsed, words, table, index, total))
+    expanded = expand_tokens(words.select("word", "typing"), index, table)
+    # `content` is looked up only where it says more than `match`
+    more = words.join(parsed.where(F.size("content") > F.size("match")).select("query_id", F.lit("content").alias("list")), ["query_id", "list"], "left_semi")
+    return p, cut(reach(words.where("list <> 'content'").unionByName(more), expanded, index, entries))
+
+
+def place_columns(entries: DataFrame) -> DataFrame:
+    """Entries with a county and an extent (x0, y0, x1, y1), null where the table has none."""
+    more = {"county": F.lit(None).cast("string"), "bbox": F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")}
+    return entries.withColumns({k: v for k, v in more.items() if k not in entries.columns})
+
+
 def candidates(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate entries per query (query_id, id, retrieval) and the parsed queries with anchor columns.
+    """Candidate entries per query (query_id, id, retrieval) and the parsed queries with anchor columns and word maps.
 
     parsed(query_id, query, tokens, roles, cats, name, cue, anchor, near_me, focus_lng, focus_lat).
     """
-    # the parsed queries feed many branches: compute them once
-    p = cut(top_cats(content_words(parsed)).withColumn("typing", ~F.col("query").rlike(r"\s$")))
-    a = resolve_anchor(p, index, entries).join(entries.select(F.col("id").alias("anchor_id"), F.col("lng").alias("a_lng"), F.col("lat").alias("a_lat"), F.col("cat").alias("a_cat")), "anchor_id")
-    p = p.join(a, "query_id", "left").withColumn("match", F.when(F.size("name") > 0, F.col("name")).otherwise(F.col("cue")))
-    p = cut(p)
-    hits = retrieve(_words(p, "match", F.col("typing")), index, entries)
-    extra = p.where(F.size("content") > F.size("match"))
-    net = retrieve(_words(extra, "content", F.col("typing")), index, entries).withColumn("retrieval", F.col("retrieval") * 0.8)
+    entries = place_columns(entries)
+    p = top_cats(content_words(parsed)).withColumns({"typing": ~F.col("query").rlike(r"\s$"), "match": F.when(F.size("name") > 0, F.col("name")).otherwise(F.col("cue"))})
+    p, lists = prepared(p, index, entries)
+    a = resolve_anchor(p, index, entries, lists.where("list = 'anchor'")).join(entries.select(
+        F.col("id").alias("anchor_id"), F.col("lng").alias("a_lng"), F.col("lat").alias("a_lat"), F.col("cat").alias("a_cat"), F.col("bbox").alias("a_bbox")), "anchor_id")
+    p = cut(p.join(a, "query_id", "left"))
     wants = ((F.size("name") == 0) & (F.size("cue") > 0)) | ((F.col("anchor_id").isNotNull() | F.col("near_me")) & (F.size("top_cats") > 0))
     b = p.where(wants).select("query_id", F.coalesce("a_lng", "focus_lng").alias("lng"), F.coalesce("a_lat", "focus_lat").alias("lat"), "top_cats", F.col("a_cat").isin(CATS.index("city"), CATS.index("park")).alias("wide"))
     found = near(b.where("wide"), "query_id", entries, 30).unionByName(near(b.where(~F.coalesce("wide", F.lit(False))), "query_id", entries, 20))
     found = found.join(b.select("query_id", "top_cats"), "query_id").join(entries.select("id", "cat"), "id").where(F.array_contains("top_cats", F.col("cat"))).select("query_id", "id", F.lit(0.0).alias("retrieval"))
     # a name hit outranks the safety net, which outranks browsing, whatever their scores
-    allc = hits.withColumn("src", F.lit(3)).unionByName(net.withColumn("src", F.lit(2))).unionByName(found.withColumn("src", F.lit(1)))
+    hits, net = lists.where("list = 'match'"), lists.where("list = 'content'").withColumn("retrieval", F.col("retrieval") * 0.8)
+    allc = hits.drop("list").withColumn("src", F.lit(3)).unionByName(net.drop("list").withColumn("src", F.lit(2))).unionByName(found.withColumn("src", F.lit(1)))
     c = allc.groupBy("query_id", "id").agg(F.max(F.struct("src", "retrieval")).alias("b")).select("query_id", "id", F.col("b.retrieval").alias("retrieval"))
-    c = c.join(p.select("query_id", "anchor_id", "name", "cue", "top_cats", "content"), "query_id").join(entries.select("id", "cat"), "id")
+    c = c.join(p.select("query_id", "anchor_id", "name", "cue", "top_cats", "m_content"), "query_id").join(entries.select("id", "cat"), "id").join(index["entry_names"], "id")
     c = c.where(~(F.coalesce(F.col("anchor_id") == F.col("id"), F.lit(False)) & (F.size("name") == 0)))
     strict = (F.size("name") == 0) & (F.size("cue") > 0) & (F.size("top_cats") > 0) & ~F.array_contains("top_cats", F.col("cat"))
-    doubt = c.where(strict)
-    cov = coverage(doubt.select("query_id", "id").join(_words(p, "content", F.lit(False)), "query_id"), index["names"]).where("coverage >= 0.99")
-    kept = c.where(~strict).select("query_id", "id", "retrieval").unionByName(doubt.join(cov, ["query_id", "id"], "left_semi").select("query_id", "id", "retrieval"))
-    return kept, p
+    return c.where(F.when(strict, coverage(F.col("m_content"), F.col("nm")) >= 0.99).otherwise(True)).select("query_id", "id", "retrieval"), p
 
 
 FEATURES = ["name_cover", "name_cover_plain", "entity_cover", "exact_name", "exact_full", "prefix_name", "min_match", "alt_only", "cue_in_name", "cat_prob", "cat_any",
@@ -314,63 +346,70 @@ FEATURES = ["name_cover", "name_cover_plain", "entity_cover", "exact_name", "exa
             "all_cover", "all_exact", "surface_exact"]
 
 
+def name_fit(words: Column, name: Column) -> Column:
+    """How query words fit one name: (cover, ent, ni, plain, low, stems), ordered so that the greatest fits best."""
+    def best(w):
+        def one(t, k):
+            m = word_match(w, t)
+            return F.struct(F.when(w["last"] & t.startswith(w["word"]), F.greatest(m, F.lit(0.9))).otherwise(m).alias("m"), (-k).alias("nj"), t.alias("stem"))
+        return F.struct(F.array_max(F.transform(name["stems"], one)).alias("b"), w["idf"].alias("idf"))
+
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda x, y: x + f(y))
+
+    def fit(b):
+        used = F.transform(F.filter(b, lambda x: x["b"]["m"] > 0), lambda x: x["b"]["stem"])
+        own = F.filter(name["stems"], lambda t: ~is_generic(t))
+        ent = F.when(F.size(own) > 0, F.size(F.filter(own, lambda t: F.array_contains(used, t))) / F.size(own)).otherwise((F.size(used) > 0).cast("double"))
+        cover = F.coalesce(total(b, lambda x: x["b"]["m"] * x["idf"]) / F.nullif(total(b, lambda x: x["idf"]), F.lit(0.0)), F.lit(0.0))
+        return F.struct(F.round(cover, 9).alias("cover"), ent.alias("ent"), (-name["idx"]).alias("ni"), (total(b, lambda x: x["b"]["m"]) / F.size(b)).alias("plain"),
+                        F.array_min(F.transform(b, lambda x: x["b"]["m"])).alias("low"), name["stems"].alias("stems"))
+    return let(F.transform(words, best), fit)
+
+
 def ranking_features(cands: DataFrame, parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
-    """The 26 named features per (query, entry); the 36 category one-hots follow from `cat`."""
-    p = parsed
-    names = index["names"]
-    base = cands.select("query_id", "id")
-    vocab, total = index["vocab"], entries.agg(F.count(F.lit(1))).scalar()
-    mw = _words(p, "match", F.col("typing"))
-    wt = mw.withColumn("token", X.stem(F.col("word"))).join(vocab, "token", "left").select("query_id", "pos", idf(total, F.col("df")).alias("idf"))
-    m = word_matches(base.join(mw, "query_id"), names)
-    best = m.groupBy("query_id", "id", "idx", "pos").agg(F.max(F.struct("m", (-F.col("j")).alias("nj"), "name_stem")).alias("b")).join(wt, ["query_id", "pos"])
-    hit = F.col("b.m") > 0
-    per = best.groupBy("query_id", "id", "idx").agg(
-        (F.sum(F.col("b.m") * F.col("idf")) / F.nullif(F.sum("idf"), F.lit(0.0))).alias("cover"), F.avg("b.m").alias("plain"), F.min("b.m").alias("low"),
-        F.collect_set(F.when(hit, F.col("b.name_stem"))).alias("used"))
-    per = per.join(names.select("id", "idx", "stems"), ["id", "idx"])
-    distinct = F.filter("stems", lambda t: ~is_generic(t))
-    ent = F.when(F.size(distinct) > 0, F.size(F.filter(distinct, lambda t: F.array_contains("used", t))) / F.size(distinct)).otherwise((F.size("used") > 0).cast("double"))
-    per = per.withColumns({"ent": ent, "cover": F.round(F.coalesce("cover", F.lit(0.0)), 9)})
-    top = per.groupBy("query_id", "id").agg(F.max(F.struct("cover", "ent", (-F.col("idx")).alias("ni"), "plain", "low", "stems")).alias("t"))
-    on = (F.col("idx") == 0) & (F.col("m0") > 0)
-    hits = m.groupBy("query_id", "id").agg(F.count_distinct(F.when(on & ~is_generic(F.col("name_stem")), F.col("pos"))).alias("core_hits"),
-                                           F.count_distinct(F.when(on, F.col("pos"))).alias("any_hits"))
-    cover_all = coverage(base.join(_words(p, "content", F.lit(False)), "query_id"), names)
-    arr = names.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "stems", "tokens"))).alias("nm"))
-    f = base.join(p, "query_id").join(entries.select("id", "cat", "lng", "lat", "imp"), "id").join(arr, "id").join(top, ["query_id", "id"], "left").join(hits, ["query_id", "id"], "left").join(cover_all, ["query_id", "id"], "left")
+    """The 26 named features per (query, entry); the 36 category one-hots follow from `cat`.
+
+    One row per candidate carries the words of the query with their matches and the names of the entry, so no row
+    is made for a pair of a word and a name.
+    """
+    e = place_columns(entries).select("id", "cat", "lng", "lat", "imp", "county")
+    f = cands.select("query_id", "id").join(parsed, "query_id").join(e, "id").join(index["entry_names"], "id")
+    f = f.withColumn("t", F.when(F.size("m_match") > 0, F.array_max(F.transform("nm", lambda n: name_fit(F.col("m_match"), n)))))
     zero = F.lit(0.0)
     first = F.get("nm", F.lit(0))["stems"]
     core0 = F.filter(first, lambda t: ~is_generic(t))
-    core = F.when(F.size(core0) > 0, core0).otherwise(first)
-    full = F.coalesce(F.col("t.stems"), first)
+    f = f.withColumns({"first": first, "core0": core0})
+    core = F.when(F.size("core0") > 0, F.col("core0")).otherwise(F.col("first"))
     join = lambda a: F.array_join(a, " ")
-    q_stem, q_full = join(F.transform("match", X.stem)), join(F.transform(F.concat("cue", "name"), X.stem))
-    cues = F.transform("cue", X.stem)
+    more = F.size("content") > F.size("match")
+    hits = lambda own: F.size(F.filter("m_match", lambda w: F.exists(own, lambda t: word_match(w, t) > 0)))
+    main = F.get("nm", F.lit(0))["idx"] == 0  # the first name may have no words
+    f = f.withColumns({
+        "core": core, "full": F.coalesce("t.stems", "first"), "q_stem": join(F.transform("match", X.stem)), "q_full": join(F.transform(F.concat("cue", "name"), X.stem)),
+        "cues": F.transform("cue", X.stem), "surface": F.flatten(F.transform("nm", lambda n: n["tokens"])), "plain": F.coalesce("t.plain", zero),
+        "extra_hits": F.when(main, F.when(F.size("core0") > 0, hits(F.col("core0"))).otherwise(hits(F.col("first")))).otherwise(0)})
+    f = f.withColumns({"s_core": join("core"), "s_full": join("full"), "all_c": F.when(more, F.when(F.size("m_content") > 0, coverage(F.col("m_content"), F.col("nm"))).otherwise(0.0)).otherwise(F.col("plain"))})
     flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
-    cue_in = F.exists(cues, lambda c: F.exists(first, lambda t: (t == c) | ((F.length(c) >= 4) & X.within_one(c, t))))
+    cue_in = F.exists("cues", lambda c: F.exists("first", lambda t: (t == c) | ((F.length(c) >= 4) & X.within_one(c, t))))
     d_a, d_f = planar_km("lng", "lat", "a_lng", "a_lat"), planar_km("lng", "lat", "focus_lng", "focus_lat")
     lg = lambda d: F.log10(1 + d) / 3
-    home = planar_km("lng", "lat", F.lit(HOME[0]), F.lit(HOME[1])) < 35
+    inside = (F.col("lng") >= F.col("a_bbox.x0")) & (F.col("lng") <= F.col("a_bbox.x1")) & (F.col("lat") >= F.col("a_bbox.y0")) & (F.col("lat") <= F.col("a_bbox.y1"))
+    home = F.coalesce(F.col("county") == HOME_COUNTY, F.lit(False)) | (planar_km("lng", "lat", F.lit(HOME[0]), F.lit(HOME[1])) < 35)
     home_focus = planar_km("focus_lng", "focus_lat", F.lit(HOME[0]), F.lit(HOME[1])) < 50
-    surface = F.flatten(F.transform("nm", lambda n: n["tokens"]))
-    plain = F.coalesce("t.plain", zero)
-    more = F.size("content") > F.size("match")
-    all_cover = F.when(more, F.coalesce("coverage", zero)).otherwise(plain)
-    extra_hits = F.coalesce(F.when(F.size(core0) > 0, F.col("core_hits")).otherwise(F.col("any_hits")), F.lit(0))
     has_match = F.size("match") > 0
     prob = F.coalesce(F.get("cats", F.col("cat")), zero)
+    said = (F.col("q_stem") != "")
     cols = {
-        "name_cover": F.coalesce("t.cover", zero), "name_cover_plain": plain, "entity_cover": F.coalesce("t.ent", zero),
-        "exact_name": flag((q_stem != "") & ((q_stem == join(core)) | (q_stem == join(full)))), "exact_full": flag((q_full != "") & (q_full == join(full))),
-        "prefix_name": flag((q_stem != "") & (join(core).startswith(q_stem) | join(full).startswith(q_stem))), "min_match": F.coalesce("t.low", zero),
+        "name_cover": F.coalesce("t.cover", zero), "name_cover_plain": F.col("plain"), "entity_cover": F.coalesce("t.ent", zero),
+        "exact_name": flag(said & ((F.col("q_stem") == F.col("s_core")) | (F.col("q_stem") == F.col("s_full")))), "exact_full": flag((F.col("q_full") != "") & (F.col("q_full") == F.col("s_full"))),
+        "prefix_name": flag(said & (F.col("s_core").startswith(F.col("q_stem")) | F.col("s_full").startswith(F.col("q_stem")))), "min_match": F.coalesce("t.low", zero),
         "alt_only": flag(F.col("t.ni") < 0), "cue_in_name": flag(cue_in), "cat_prob": prob, "cat_any": F.get("cats", F.lit(36)), "cat_prob_cue": F.when(F.size("cue") > 0, prob).otherwise(0.0),
-        "importance": F.col("imp") / 100, "has_anchor": flag(F.col("anchor_id").isNotNull()), "d_anchor": F.coalesce(lg(d_a), zero), "in_anchor": flag(d_a < 5), "d_focus": lg(d_f),
+        "importance": F.col("imp") / 100, "has_anchor": flag(F.col("anchor_id").isNotNull()), "d_anchor": F.coalesce(lg(d_a), zero), "in_anchor": flag(F.when(F.col("a_bbox").isNotNull(), inside).otherwise(d_a < 5)), "d_focus": lg(d_f),
         "near_me_dist": F.when(F.col("near_me"), lg(d_f)).otherwise(0.0), "home": flag(home), "home_focus": flag(home & home_focus),
-        "extra_tokens": F.least(F.lit(1.0), F.greatest(F.lit(0), F.size(core) - extra_hits) / 4), "name_len": F.least(F.lit(1.0), F.size(first) / 6),
-        "typing_flag": flag(F.col("typing") & has_match & ~F.array_contains(full, X.stem(F.element_at("match", F.when(has_match, -1))))),
-        "all_cover": all_cover, "all_exact": flag((all_cover >= 0.99) & F.exists("nm", lambda n: F.size(n["stems"]) == F.size("content"))),
-        "surface_exact": F.when(F.size("content") > 0, F.size(F.filter("content", lambda w: F.array_contains(surface, w))) / F.size("content")).otherwise(0.0)}
+        "extra_tokens": F.least(F.lit(1.0), F.greatest(F.lit(0), F.size("core") - F.col("extra_hits")) / 4), "name_len": F.least(F.lit(1.0), F.size("first") / 6),
+        "typing_flag": flag(F.col("typing") & has_match & ~F.array_contains("full", X.stem(F.element_at("match", F.when(has_match, -1))))),
+        "all_cover": F.col("all_c"), "all_exact": flag((F.col("all_c") >= 0.99) & F.exists("nm", lambda n: F.size(n["stems"]) == F.size("content"))),
+        "surface_exact": F.when(F.size("content") > 0, F.size(F.filter("content", lambda w: F.array_contains("surface", w))) / F.size("content")).otherwise(0.0)}
     return f.select("query_id", "id", "cat", *[c.cast("double").alias(n) for n, c in cols.items()])
 
 
@@ -410,8 +449,7 @@ def rank_results(scored: DataFrame, entries: DataFrame, limit: int = 12) -> Data
 def search(queries: DataFrame, index: dict[str, DataFrame], entries: DataFrame, limit: int = 12) -> DataFrame:
     """Rule parse, candidates, features, hand-set score, ranking. queries(query_id, query, focus_lng, focus_lat)."""
     c, p = candidates(rule_parse(queries), index, entries)
-    # candidates and features have deep plans and several uses: each is computed once
-    return rank_results(heuristic_score(cut(ranking_features(cut(c), p, index, entries))), entries, limit)
+    return rank_results(heuristic_score(cut(ranking_features(c, p, index, entries))), entries, limit)
 
 
 def local_search(queries: DataFrame, places: DataFrame, limit: int = 8) -> DataFrame:

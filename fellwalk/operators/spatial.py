@@ -219,8 +219,10 @@ def sample_grid_nearest(points: DataFrame, pixels: DataFrame, value: str) -> Dat
             .withColumn("value", F.coalesce("_v", F.lit(0.0))).drop("_v", "ix", "iy"))
 
 
-def dem_zoom(boxes: DataFrame, zoom: int, max_tiles: int = 64, floor: int = 8) -> DataFrame:
-    """Sampling zoom per box: the finest level up to `zoom` with at most `max_tiles` tiles, not below `floor`."""
+def dem_zoom(boxes: DataFrame, zoom: int, max_tiles: int | None = None, floor: int = 8) -> DataFrame:
+    """Sampling zoom per box: `zoom`, or with `max_tiles` the finest level up to it with at most so many tiles, not below `floor`."""
+    if max_tiles is None:
+        return boxes.withColumn("dem_zoom", F.lit(zoom))
     edge = 1e-9
 
     def tiles(z):

@@ -318,10 +318,10 @@ def _(d):
     return D.focal_gauss(land(d), "tree", (1.5, 2.0), shape(d)).select("cx", "cy", F.round("tree_gauss", 6).alias("tree_gauss"))
 
 
-@query("distance_to_mask", f"""SELECT c.cx, c.cy, round(least(1.2e1, min(sqrt(pow((c.cx - s.cx) * 7.7e-1, 2) + pow((c.cy - s.cy) * 1.1132, 2)))), 6) AS dist_km
+@query("distance_to_mask", f"""SELECT c.cx, c.cy, round(min(sqrt(pow((c.cx - s.cx) * 7.7e-1, 2) + pow((c.cy - s.cy) * 1.1132, 2))), 6) AS dist_km
 FROM {LAND_SQL} c, {LAND_SQL} s WHERE s.tree > 9.5e-1 GROUP BY c.cx, c.cy""")
 def _(d):
-    out = D.distance_to_mask(land(d), F.col("tree") > 0.95, KX, KY, 12.0)
+    out = D.distance_to_mask(land(d), F.col("tree") > 0.95, KX, KY)
     return out.select("cx", "cy", F.round("dist_km", 6).alias("dist_km"))
 
 

@@ -261,7 +261,7 @@ SELECT id, CAST(coalesce(max(CASE WHEN tiles <= 64 THEN z END), 8) AS INT) AS de
 def _(d):
     imp = F.col("imp") / 100
     b = d.places.withColumns({"w": F.col("lng") - imp, "s": F.col("lat") - imp, "e": F.col("lng") + imp, "n": F.col("lat") + imp})
-    return S.dem_zoom(b, 12).select("id", "dem_zoom")
+    return S.dem_zoom(b, 12, 64).select("id", "dem_zoom")
 
 
 WAY_POINTS_SQL = "(SELECT v.way_id, v.seq, v.node_id, n.lng, n.lat, n.ele FROM v_way_vertices v JOIN v_nodes n USING (node_id))"

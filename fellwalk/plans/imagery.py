@@ -47,7 +47,7 @@ def _(d):
     return I.paint_order(tiles9(d), I.best_scenes_per_grid(boxed(d)))
 
 
-@query("imagery_dates", f"SELECT x * 1000 + y AS view_id, epoch(max(acquired_at)) AS newest, epoch(min(acquired_at)) AS oldest FROM {ORDER_SQL} WHERE paint <= 8 GROUP BY x, y")
+@query("imagery_dates", f"SELECT x * 1000 + y AS view_id, epoch(max(acquired_at)) AS newest, epoch(min(acquired_at)) AS oldest FROM {ORDER_SQL} GROUP BY x, y")
 def _(d):
     v = tiles9(d).withColumn("view_id", F.col("x") * 1000 + F.col("y")).drop("x", "y")
     o = I.imagery_dates(v, I.best_scenes_per_grid(boxed(d)))

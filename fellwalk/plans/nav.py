@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fellwalk.functions.geo import haversine_m
+from fellwalk.functions import speed as V
 from fellwalk.operators import nav as N
+from fellwalk.operators import routing as O
 from fellwalk.operators.fixpoint import cut
 from fellwalk.operators.ordered import with_neighbour
 from fellwalk.operators.spatial import line_segments
+from fellwalk.plans import routing as R
 from fellwalk.plans import sqltext as Q
 from fellwalk.plans.geo import SUPPLIER_POINTS, supplier_roads
 from fellwalk.plans.registry import query
@@ -159,7 +162,7 @@ STREAM_SLICES = 4
 def _stream(d, job, name, files_per_trigger=1):
     """Fixes written in time slices, one after the other, then run through a streaming job into a table.
 
-    A session has one file in each slice, so its fixes arrive in order however many files a micro-batch takes.
+    A session has one file in each slice; a micro-batch that takes the files of one slice gets its fixes in order.
     """
     src, out, ck = (scratch(d.spark, f"{name}-{x}") for x in ("in", "out", "ck"))
     f = with_neighbour(fixes(d), ["session_id"], "seq", {"lng": "_x", "lat": "_y", "t_s": "_t"}, offset=-1)
@@ -183,9 +186,49 @@ def _(d):
     return r.groupBy("session_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("dist_m"), 3).alias("distance_m"))
 
 
-@query("scan_requests_stream", "SELECT DISTINCT trace_id AS session_id, floor(lng * 200 + 5e-1) / 200 AS box_lng, floor(lat * 200 + 5e-1) / 200 AS box_lat FROM v_trace_points")
+@query("scan_requests_stream", f"""WITH RECURSIVE f AS (SELECT trace_id AS session_id, seq, {STREAM_T} AS s, CAST(floor(lng * 200 + 5e-1) AS BIGINT) AS bx, CAST(floor(lat * 200 + 5e-1) AS BIGINT) AS byy, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS rn FROM v_trace_points),
+st(session_id, rn, seq, bx, byy, last, boxes, hit) AS (SELECT session_id, rn, seq, bx, byy, s, [bx * 100000 + byy], TRUE FROM f WHERE rn = 1
+ UNION ALL SELECT session_id, rn, seq, bx, byy, CASE WHEN go THEN s ELSE last END, CASE WHEN go THEN list_append(boxes, bx * 100000 + byy) ELSE boxes END, go
+  FROM (SELECT f.*, last, boxes, f.s - last >= 60 AND NOT list_contains(boxes, f.bx * 100000 + f.byy) AS go FROM st JOIN f ON f.session_id = st.session_id AND f.rn = st.rn + 1))
+SELECT session_id, seq, bx / 2e2 AS box_lng, byy / 2e2 AS box_lat FROM st WHERE hit""")
 def _(d):
-    return _stream(d, L.scan_requests, "scan", 1000).where("session_id is not null").select("session_id", "box_lng", "box_lat").distinct()
+    return _stream(d, L.scan_requests, "scan").select("session_id", "seq", "box_lng", "box_lat")
+
+
+#: The fixes that leave their route, on their way to the route's end.
+_LEFT = f"""(SELECT session_id * 100000 + o.seq AS req, v.lng AS fx, v.lat AS fy, e.lng AS tx, e.lat AS ty FROM (SELECT session_id, seq FROM (SELECT *, lag(off_route) OVER (PARTITION BY session_id ORDER BY seq) AS was FROM {OFF}) WHERE off_route AND NOT coalesce(was, FALSE)) o
+ JOIN v_trace_points v ON v.trace_id = session_id AND v.seq = o.seq JOIN {_R} e ON e.route_id = session_id + 1 AND e.seq = 3)"""
+
+
+def off_slices(d, name):
+    """Progress of all sessions in time slices, as files of a stream folder."""
+    src = scratch(d.spark, f"{name}-in")
+    f = follow(d).select("session_id", "seq", "offset", "accuracy").join(fixes(d).select("session_id", "seq", "lng", "lat", F.expr(STREAM_T).cast("long").alias("_s")), ["session_id", "seq"])
+    f = cut(f.withColumn("ts", F.timestamp_seconds("_s")))
+    lo, hi = f.agg(F.coalesce(F.min("_s"), F.lit(0)), F.coalesce(F.max("_s"), F.lit(0))).first()
+    part = F.least(F.lit(STREAM_SLICES - 1), F.floor((F.col("_s") - lo) * STREAM_SLICES / (hi - lo + 1)))
+    for i in range(STREAM_SLICES):
+        f.where(part == i).drop("_s").coalesce(1).write.mode("append").parquet(src)  # one file a slice, so that a micro-batch is a slice
+    return d.spark.readStream.schema(f.drop("_s").schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def rerouting(d):
+    """A batch planner of routes from fixes to the ends of their sessions' routes."""
+    edges = cut(O.edge_costs(R.table(d), V.prefs()).select("src", "dst", "way_id", "cost"))
+    nodes = cut(R.used_nodes(d))
+    ends = cut(routes(d).where("seq = 3").select((F.col("route_id") - 1).alias("session_id"), F.col("lng").alias("to_lng"), F.col("lat").alias("to_lat")))
+
+    def plan(left):
+        req = left.join(ends, "session_id").select((F.col("session_id") * 100000 + F.col("seq")).alias("req"), F.col("lng").alias("from_lng"), F.col("lat").alias("from_lat"), "to_lng", "to_lat")
+        return O.plan_routes(req, edges, nodes)
+    return plan
+
+
+@query("reroute_stream", R.paths_cte(R.snap_sql(_LEFT)) + " SELECT req, r.source, r.target, round(dist, 3) AS cost FROM r JOIN d ON d.source = r.source AND d.node = r.target")
+def _(d):
+    out, ck = (scratch(d.spark, f"reroute-{x}") for x in ("out", "ck"))
+    L.reroute(L.off_route(off_slices(d, "reroute")), rerouting(d), out, ck).awaitTermination()
+    return d.spark.read.parquet(out).select("req", "source", "target", F.round("cost", 3).alias("cost"))
 
 
 @query("live_heat_stream", f"""SELECT CAST(floor(s / 1e1) * 10 AS BIGINT) AS start, CAST(floor(lng / 1e-3) AS BIGINT) AS cx, CAST(floor(lat / 1e-3) AS BIGINT) AS cy, count(*) AS fixes, round(avg(m / 5), 3) AS mean_speed

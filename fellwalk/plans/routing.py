@@ -134,16 +134,23 @@ def requests(d):
                                       (25.0 + (k * 5081 % 20000) / 1e6).alias("to_lng"), (45.0 + (k * 3559 % 15000) / 1e6 + F.when(k % 10 == 0, 0.1).otherwise(0.0)).alias("to_lat"))
 
 
-def _nearest(x, y):
-    return f"(SELECT req, arg_min(node_id, (dist, node_id)) AS node, min(dist) AS dist FROM (SELECT req, node_id, {Q.hav(x, y, 'lng', 'lat')} AS dist FROM {REQ_SQL}, v_nodes WHERE node_id IN (SELECT src FROM {EDGES_SQL})) WHERE dist < 500 GROUP BY req)"
+def snap_sql(req):
+    """Ends of requests(req, fx, fy, tx, ty) at their nearest nodes within 500 m."""
+    near = lambda x, y: f"(SELECT req, arg_min(node_id, (dist, node_id)) AS node, min(dist) AS dist FROM (SELECT req, node_id, {Q.hav(x, y, 'lng', 'lat')} AS dist FROM {req}, v_nodes WHERE node_id IN (SELECT src FROM {EDGES_SQL})) WHERE dist < 500 GROUP BY req)"
+    return f"(SELECT a.req, a.node AS source, b.node AS target, a.dist AS snap_from, b.dist AS snap_to FROM {near('fx', 'fy')} a JOIN {near('tx', 'ty')} b ON a.req = b.req)"
 
 
-SNAP_SQL = f"(SELECT a.req, a.node AS source, b.node AS target, a.dist AS snap_from, b.dist AS snap_to FROM {_nearest('fx', 'fy')} a JOIN {_nearest('tx', 'ty')} b ON a.req = b.req)"
+SNAP_SQL = snap_sql(REQ_SQL)
 
 
-def snapped(d):
+def used_nodes(d):
+    """The nodes that edges use."""
     used = O.build_edges(d.way_points).select(F.col("src").alias("node_id")).distinct()
-    return O.snap_endpoints(requests(d), d.nodes.join(used, "node_id", "left_semi"))
+    return d.nodes.join(used, "node_id", "left_semi")
+
+
+def snapped(d):
+    return O.snap_endpoints(requests(d), used_nodes(d))
 
 
 @query("snap_endpoints", f"SELECT req, source, target, round(snap_from, 3) AS snap_from, round(snap_to, 3) AS snap_to FROM {SNAP_SQL}")
@@ -151,13 +158,24 @@ def _(d):
     return snapped(d).select("req", "source", "target", F.round("snap_from", 3).alias("snap_from"), F.round("snap_to", 3).alias("snap_to"))
 
 
-def _paths_sql(rounds=25):
-    """Costs by repeated relaxation; enough rounds for the small data sets."""
-    ctes = [f"e AS MATERIALIZED (SELECT src, dst, min(length_m / v * CASE WHEN access_foot = 'unknown' THEN 1.1e0 ELSE 1e0 END) AS cost FROM (SELECT *, {FOOT_SQL} AS v FROM {TABLE_SQL} WHERE access_foot <> 'no' AND difficulty <= 4) GROUP BY src, dst)",
-            f"r AS MATERIALIZED (SELECT * FROM {SNAP_SQL})", "d0 AS MATERIALIZED (SELECT DISTINCT source, source AS node, 0e0 AS dist FROM r)"]
-    for k in range(rounds):
-        ctes.append(f"d{k + 1} AS MATERIALIZED (SELECT source, node, min(dist) AS dist FROM (SELECT * FROM d{k} UNION ALL SELECT source, dst, dist + cost FROM d{k} JOIN e ON src = node) GROUP BY source, node)")
-    return "WITH " + ",\n".join(ctes) + f" SELECT req, r.source, r.target, round(dist, 3) AS cost FROM r JOIN d{rounds} d ON d.source = r.source AND d.node = r.target"
+def paths_cte(snap):
+    """Least costs d from the sources of `snap`(req, source, target) over foot edges t."""
+    return f"""WITH RECURSIVE t AS MATERIALIZED (SELECT *, length_m / v AS time_s, length_m / v * CASE WHEN access_foot = 'unknown' THEN 1.1e0 ELSE 1e0 END AS cost FROM (SELECT *, {FOOT_SQL} AS v FROM {TABLE_SQL}) WHERE access_foot <> 'no' AND difficulty <= 4 AND v > 0),
+e AS MATERIALIZED (SELECT src, dst, min(cost) AS cost, arg_min(way_id, (cost, way_id)) AS way_id FROM t GROUP BY src, dst), r AS MATERIALIZED (SELECT * FROM {snap}),
+d(source, node, dist, prev, way_id) USING KEY (source, node) AS (SELECT DISTINCT source, source, 0e0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM r
+ UNION SELECT n.source, n.node, n.c, n.prev, n.way_id FROM (SELECT d.source, e.dst AS node, min(d.dist + e.cost) AS c, arg_min(e.src, (d.dist + e.cost, e.src)) AS prev, arg_min(e.way_id, (d.dist + e.cost, e.src)) AS way_id
+  FROM d JOIN e ON e.src = d.node GROUP BY 1, 2) n LEFT JOIN recurring.d o ON o.source = n.source AND o.node = n.node WHERE o.dist IS NULL OR n.c < o.dist)"""
+
+
+PATHS_CTE = paths_cte(SNAP_SQL)
+SUMMARY_SQL = PATHS_CTE + """,
+p(req, source, node, back) AS (SELECT req, source, target, 0 FROM r UNION ALL SELECT p.req, p.source, d.prev, back + 1 FROM p JOIN d ON d.source = p.source AND d.node = p.node WHERE d.prev IS NOT NULL),
+w AS (SELECT p.req, -p.back AS seq, t.*, coalesce(ele_b - ele_a, 0e0) AS rise, lag(t.way_id) OVER (PARTITION BY p.req ORDER BY p.back DESC) AS before
+ FROM p JOIN d ON d.source = p.source AND d.node = p.node JOIN t ON t.src = d.prev AND t.dst = d.node AND t.way_id = d.way_id)
+SELECT req, string_agg(CASE WHEN before IS NULL OR before <> way_id THEN CAST(way_id AS STRING) END, ',' ORDER BY seq) AS way_ids, round(sum(length_m), 3) AS distance_m, round(sum(time_s), 3) AS duration_s,
+ round(sum(greatest(rise, 0e0)), 3) AS ascent_m, round(sum(greatest(-rise, 0e0)), 3) AS descent_m,
+ round(sum(CASE WHEN kind = 'detected' OR hidden_score >= 6e-1 THEN length_m ELSE 0e0 END) / sum(length_m), 3) AS hidden_share, round(sum(CASE WHEN surface_class <> 'paved' THEN length_m ELSE 0e0 END) / sum(length_m), 3) AS offroad_share,
+ round(sum(CASE WHEN access_foot = 'unknown' THEN length_m ELSE 0e0 END) / sum(length_m), 3) AS unknown_share FROM w GROUP BY req"""
 
 
 def _search(d):
@@ -167,13 +185,13 @@ def _search(d):
     return t, req, costs, tree
 
 
-@query("shortest_paths", _paths_sql())
+@query("shortest_paths", PATHS_CTE + " SELECT req, r.source, r.target, round(dist, 3) AS cost FROM r JOIN d ON d.source = r.source AND d.node = r.target")
 def _(d):
     _, req, costs, _ = _search(d)
     return req.join(costs, "req").select("req", "source", "target", F.round("cost", 3).alias("cost"))
 
 
-@query("route_summary")
+@query("route_summary", SUMMARY_SQL)
 def _(d):
     t, req, _, tree = _search(d)
     rows = O.route_rows(O.backtrack(req, tree), t)
@@ -182,8 +200,8 @@ def _(d):
 
 
 @query("route_exposure", f"""
-WITH v AS (SELECT trace_id, seq - 1 AS seq, lng, lat, count(*) OVER (PARTITION BY trace_id) AS n FROM v_trace_points),
-p AS (SELECT trace_id, seq, (lng - 2.499e1) / 2e-3 AS fx, (4.502e1 - lat) / 2e-3 AS fy, 2e-3 * 1.1132e2 * cos(radians(lat)) AS kmx FROM v WHERE seq % greatest(1, CAST(floor(n / 6e1) AS BIGINT)) = 0),
+WITH v AS (SELECT trace_id, seq - 1 AS seq, lng, lat FROM v_trace_points),
+p AS (SELECT trace_id, seq, (lng - 2.499e1) / 2e-3 AS fx, (4.502e1 - lat) / 2e-3 AS fy, 2e-3 * 1.1132e2 * cos(radians(lat)) AS kmx FROM v),
 y AS (SELECT *, unnest(range(CAST(floor(fy - 9e-1 / 2.2264e-1) AS BIGINT), CAST(floor(fy + 9e-1 / 2.2264e-1) AS BIGINT) + 1)) AS cy FROM p),
 x AS (SELECT *, unnest(range(CAST(floor(fx - 9e-1 / kmx) AS BIGINT), CAST(floor(fx + 9e-1 / kmx) AS BIGINT) + 1)) AS cx FROM y),
 w AS (SELECT trace_id, seq, cx, cy, exp(-(pow((cx + 5e-1 - fx) * kmx, 2) + pow((cy + 5e-1 - fy) * 2.2264e-1, 2)) / 1.8e-1) AS w FROM x),
@@ -204,10 +222,10 @@ def trace_heights(d):
 
 
 @query("route_profile", f"""
-WITH s AS (SELECT *, coalesce({Q.hav('lag(lng) OVER w', 'lag(lat) OVER w', 'lng', 'lat')}, 0e0) AS st, count(*) OVER (PARTITION BY trace_id) AS n FROM {_FILLED} WINDOW w AS (PARTITION BY trace_id ORDER BY seq)),
+WITH s AS (SELECT *, coalesce({Q.hav('lag(lng) OVER w', 'lag(lat) OVER w', 'lng', 'lat')}, 0e0) AS st FROM {_FILLED} WINDOW w AS (PARTITION BY trace_id ORDER BY seq)),
 c AS (SELECT *, sum(st) OVER (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum, sum(st) OVER (PARTITION BY trace_id) AS len, count(ele) OVER (PARTITION BY trace_id) AS known, min(f) OVER (PARTITION BY trace_id) AS lo, max(f) OVER (PARTITION BY trace_id) AS hi FROM s)
 SELECT trace_id, seq, round(cum, 3) AS cum_m, f AS ele_filled, round(len, 3) AS length_m, lo AS min_ele, hi AS max_ele FROM c
-WHERE known >= 2 AND len >= 50 AND (seq % greatest(1, CAST(floor(n / 2e2) AS BIGINT)) = 0 OR seq = n - 1)""")
+WHERE known >= 2 AND len >= 50""")
 def _(d):
     return O.route_profile(trace_heights(d), "trace_id").select("trace_id", "seq", F.round("cum_m", 3).alias("cum_m"), "ele_filled", F.round("length_m", 3).alias("length_m"), "min_ele", "max_ele")
 

@@ -43,14 +43,17 @@ def _(d):
     return vocab(d).select(F.explode(X.trigrams(F.col("t"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("words"))
 
 
-PAIRS = f"(SELECT t AS a, lead(t) OVER (ORDER BY t) AS b FROM {VOCAB} WHERE length(t) BETWEEN 4 AND 9)"
+_AT = "((length(t) * 7 + ascii(t)) % length(t) + 1)"
+PAIRS = f"""(SELECT DISTINCT t AS a, unnest([left(t, {_AT}) || substr(t, {_AT} + 2), left(t, {_AT} - 1) || substr(t, {_AT} + 1, 1) || substr(t, {_AT}, 1) || substr(t, {_AT} + 2), reverse(t), t || 'xy']) AS b FROM {VOCAB} WHERE t <> '')"""
+_MATCH = """CASE WHEN {w} = {n} THEN 1e0 WHEN {ws} = {ns} THEN 9.5e-1 WHEN length({w}) >= 3 AND starts_with({n}, {w}) THEN 6e-1 + 3e-1 * length({w}) / length({n}) WHEN length({w}) < 4 THEN 0e0
+   WHEN damerau_levenshtein({w}, {n}) = 1 THEN 8e-1 WHEN damerau_levenshtein({w}, {n}) = 2 AND length({w}) >= 6 THEN 6e-1 WHEN length({n}) > length({w}) AND damerau_levenshtein({w}, left({n}, length({w}))) = 1 THEN 5.5e-1 ELSE 0e0 END"""
 
 
 def pairs(d):
-    """Words with words one edit away, made by dropping, swapping or changing a character."""
-    v = vocab(d).where(F.length("t") >= 4)
-    i = F.pmod(F.xxhash64("t"), F.length("t") - 2).cast("int") + 1
+    """Words of every length with words one or two edits away, made by dropping, swapping or adding a character, and turned round."""
+    v = vocab(d)
     t = F.col("t")
+    i = F.pmod(F.length("t") * 7 + F.ascii("t"), F.greatest(F.length("t"), F.lit(1))).cast("int") + 1
     drop = F.concat(F.left(t, i), F.substring(t, i + 2, F.length(t)))
     swap = F.concat(F.left(t, i - 1), F.substring(t, i + 1, F.lit(1)), F.substring(t, i, F.lit(1)), F.substring(t, i + 2, F.length(t)))
     return v.select(t.alias("a"), F.explode(F.array(drop, swap, F.reverse(t), F.concat(t, F.lit("xy")))).alias("b"))
@@ -63,19 +66,21 @@ def _(d):
     return p.select("a", "b", F.round(X.jaccard(X.trigrams(F.col("a")), X.trigrams(F.col("b"))), 6).alias("sim"))
 
 
-@query("edit_distance")
+@query("edit_distance", f"SELECT DISTINCT a, b, CAST(least(3, damerau_levenshtein(a, b)) AS INT) AS d FROM {PAIRS}")
 def _(d):
     return pairs(d).distinct().select("a", "b", X.edit_distance(F.col("a"), F.col("b"), 2).alias("d"))
 
 
-@query("token_match")
+@query("token_match", f"SELECT DISTINCT a, b, round({_MATCH.format(w='a', n='b', ws='sa', ns='sb')}, 6) AS m FROM (SELECT a, b, {_stem_sql('a')} AS sa, {_stem_sql('b')} AS sb FROM {PAIRS})")
 def _(d):
     return pairs(d).distinct().select("a", "b", F.round(X.token_match(F.col("a"), F.col("b")), 6).alias("m"))
 
 
 def entries(d):
     alt = F.when(F.substring("id", 2, 20).cast("long") % 5 == 0, F.array(F.concat(F.lit("Lacul "), F.col("name")))).otherwise(F.array().cast("array<string>"))
-    return d.places.withColumn("alt", alt)
+    k = F.substring("id", 2, 20).cast("long")
+    box = F.struct((F.col("lng") - 0.02).alias("x0"), (F.col("lat") - 0.015).alias("y0"), (F.col("lng") + 0.03).alias("x1"), (F.col("lat") + 0.02).alias("y1"))
+    return d.places.withColumns({"alt": alt, "county": F.when(k % 7 == 0, S.HOME_COUNTY).otherwise("Prahova"), "bbox": F.when(k % 4 == 0, box)})
 
 
 _NAMES = f"""(SELECT id, cat, idx, string_split({_FOLD.format('nm')}, ' ') AS toks FROM (SELECT id, cat, 0 AS idx, name AS nm FROM v_places UNION ALL SELECT id, cat, 1, 'Lacul ' || name FROM v_places WHERE CAST(substr(id, 2) AS BIGINT) % 5 = 0))"""
@@ -139,14 +144,86 @@ def _index(d):
     return e, {k: cut(v) for k, v in S.build_search_index(e).items()}
 
 
-@query("expand_tokens")
+_GENERIC = ", ".join(f"'{g}'" for g in S.GENERIC)
+_TRI = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', CAST(i AS INT), 3)))"
+NAMES_CTE = f"""nt AS MATERIALIZED (SELECT id, idx, j, tok, {_stem_sql('tok')} AS st FROM (SELECT id, idx, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS j FROM {_NAMES})),
+nn AS MATERIALIZED (SELECT id, idx, list(st ORDER BY j) AS stems, list(tok) AS toks, list(st ORDER BY j) FILTER (st NOT IN ({_GENERIC})) AS own FROM nt GROUP BY id, idx),
+post AS MATERIALIZED (SELECT DISTINCT id, st AS token FROM nt), vocab AS MATERIALIZED (SELECT token, count(*) AS df FROM post GROUP BY token), tot AS (SELECT count(*) * 1e0 AS n FROM v_places),
+"""
+#: wd(word, sw) and l(word, typing) come before.
+MATCH_CTE = f"""sd AS (SELECT DISTINCT st AS token, {_stem_sql('st')} AS ss FROM nt),
+mt AS MATERIALIZED (SELECT * FROM (SELECT word, sw, token, {_MATCH.format(w='word', n='token', ws='sw', ns='ss')} AS m FROM wd, sd) WHERE m > 0),
+ex AS (SELECT word, typing, token, CASE WHEN token IN (word, sw) THEN 1e0 ELSE m END AS match FROM mt JOIN (SELECT DISTINCT word, typing FROM l) USING (word) WHERE token IN (word, sw) OR (starts_with(token, word) AND length(word) >= CASE WHEN typing THEN 2 ELSE 3 END)
+  OR (length(word) >= 4 AND length(token) >= 4 AND abs(length(token) - length(word)) <= 3 AND len(list_intersect({_TRI.format('word')}, {_TRI.format('token')})) >= greatest(2, 3.5e-1 * len({_TRI.format('word')})))),
+"""
+ANCHOR_CTE = f"""WITH ent AS MATERIALIZED (SELECT id, name, cat, lng, lat, imp, k % 7 = 0 AS in_county, k % 4 = 0 AS box FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS k FROM v_places)),
+{NAMES_CTE}t AS (SELECT query_id, string_split({_FOLD.format('query')}, ' ') AS toks FROM {QUERY_SQL}), u AS (SELECT query_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM t),
+w AS (SELECT query_id, i, toks[i] AS t, toks[i + 1] AS nx FROM u), f AS (SELECT *, min(CASE WHEN t = 'near' AND nx IS NOT NULL AND nx <> 'me' AND i > 1 THEN i END) OVER (PARTITION BY query_id) AS nr FROM w),
+r AS MATERIALIZED (SELECT *, CASE WHEN t = 'me' AND i > 1 THEN 'me' WHEN i = nr THEN 'near' WHEN t = 'near' AND nx = 'me' THEN 'near' WHEN i > nr THEN 'anchor' WHEN t IN ('lake', 'cabane') THEN 'cue' WHEN t IN ('where', 'is') THEN 'fill' ELSE 'name' END AS role FROM f),
+q AS MATERIALIZED (SELECT r.query_id, any_value(query) AS query, any_value(focus_lng) AS fx, any_value(focus_lat) AS fy, count(*) FILTER (role = 'name') AS n_name, count(*) FILTER (role = 'cue') AS n_cue, bool_or(role = 'me') AS near_me,
+  max(CASE WHEN t = 'lake' AND role = 'cue' THEN 7 WHEN t = 'cabane' AND role = 'cue' THEN 16 ELSE -1 END) AS want FROM r JOIN {QUERY_SQL} s ON s.query_id = r.query_id GROUP BY r.query_id),
+l0 AS (SELECT r.query_id, 'match' AS list, i, t FROM r JOIN q USING (query_id) WHERE role = CASE WHEN n_name > 0 THEN 'name' ELSE 'cue' END UNION ALL SELECT query_id, 'content', i, t FROM r WHERE role IN ('name', 'cue', 'anchor')
+  UNION ALL SELECT query_id, 'anchor', i, t FROM r WHERE role = 'anchor'),
+l AS MATERIALIZED (SELECT l0.query_id, list, row_number() OVER (PARTITION BY l0.query_id, list ORDER BY i) AS pos, count(*) OVER (PARTITION BY l0.query_id, list) AS len, t AS word, {_stem_sql('t')} AS sw,
+  list <> 'anchor' AND query NOT LIKE '% ' AND i = max(i) OVER (PARTITION BY l0.query_id, list) AS typing FROM l0 JOIN q ON q.query_id = l0.query_id),
+lw AS MATERIALIZED (SELECT l.*, ln(1 + n / (1 + coalesce(df, 0))) AS idf FROM l CROSS JOIN tot LEFT JOIN vocab v ON v.token = sw),
+size AS MATERIALIZED (SELECT query_id, count(*) FILTER (list = 'match') AS n_match, count(*) FILTER (list = 'content') AS n_content, list(word ORDER BY pos) FILTER (list = 'content') AS content,
+  string_agg(sw, ' ' ORDER BY pos) FILTER (list = 'match') AS q_stem, max(CASE WHEN list = 'match' AND pos = len THEN sw END) AS last_stem FROM l GROUP BY query_id),
+full_text AS MATERIALIZED (SELECT query_id, string_agg(sw, ' ' ORDER BY role, i) AS q_full FROM (SELECT query_id, i, role, {_stem_sql('t')} AS sw FROM r WHERE role IN ('cue', 'name')) GROUP BY query_id),
+wd AS (SELECT DISTINCT word, sw FROM l),
+{MATCH_CTE}pw AS MATERIALIZED (SELECT word, typing, id, max(match) AS m FROM ex JOIN post USING (token) GROUP BY 1, 2, 3),
+hits AS MATERIALIZED (SELECT query_id, list, id, round(sum(m * greatest(1e0, idf)), 9) AS retrieval FROM lw JOIN pw USING (word, typing) JOIN size USING (query_id) WHERE list <> 'content' OR n_content > n_match GROUP BY 1, 2, 3),
+ac AS (SELECT h.query_id, h.id, idx, l.pos, max(CASE WHEN mt.m >= 8e-1 THEN 1 ELSE 0 END) AS hit FROM hits h JOIN l ON l.query_id = h.query_id AND l.list = 'anchor' JOIN nt ON nt.id = h.id LEFT JOIN mt ON mt.word = l.word AND mt.token = nt.st WHERE h.list = 'anchor' GROUP BY 1, 2, 3, 4),
+av AS (SELECT query_id, id, max(c) AS cov FROM (SELECT query_id, id, idx, avg(hit) AS c FROM ac GROUP BY 1, 2, 3) GROUP BY 1, 2),
+an AS MATERIALIZED (SELECT query_id, arg_max(id, (s, id)) AS id FROM (SELECT h.query_id, h.id, round(retrieval + CASE WHEN cov >= 9.9e-1 THEN 3 ELSE 0 END + CASE cat {' '.join(f'WHEN {S.CATS.index(c)} THEN {b:e}' for c, b in S.PLACE_BONUS.items())} ELSE 0e0 END + imp / 2e1
+   - 6e-1 * log10(1 + {Q.km('fx', 'fy', 'lng', 'lat')}), 9) AS s FROM hits h JOIN av USING (query_id, id) JOIN ent USING (id) JOIN q USING (query_id) WHERE h.list = 'anchor') GROUP BY query_id),
+p AS MATERIALIZED (SELECT q.*, size.* EXCLUDE (query_id), coalesce(q_full, '') AS q_full, a.id AS anchor_id, a.lng AS ax, a.lat AS ay, a.box AS abox, a.cat AS acat, want >= 0 AND n_name = 0 AND n_cue > 0 AS strict
+  FROM q LEFT JOIN size USING (query_id) LEFT JOIN full_text USING (query_id) LEFT JOIN an USING (query_id) LEFT JOIN ent a ON a.id = an.id)"""
+SEARCH_SQL = ANCHOR_CTE + f""",
+br AS (SELECT query_id, ent.id FROM (SELECT *, coalesce(ax, fx) AS cx, coalesce(ay, fy) AS cy, CASE WHEN acat IN ({S.CATS.index('city')}, {S.CATS.index('park')}) THEN 4 ELSE 3 END AS r FROM p WHERE want >= 0 AND ((n_name = 0 AND n_cue > 0) OR anchor_id IS NOT NULL OR near_me)) b
+  JOIN ent ON ent.cat = want AND floor(lng * 10) BETWEEN floor(cx * 10) - r AND floor(cx * 10) + r AND floor(lat * 10) BETWEEN floor(cy * 10) - r AND floor(cy * 10) + r),
+c0 AS (SELECT query_id, id FROM hits WHERE list <> 'anchor' UNION SELECT query_id, id FROM br),
+wm AS MATERIALIZED (SELECT c0.query_id, c0.id, l.list, l.pos, nt.idx, nt.j, nt.st, coalesce(mt.m, 0e0) AS m0, CASE WHEN l.typing AND starts_with(nt.st, l.word) THEN greatest(9e-1, coalesce(mt.m, 0e0)) ELSE coalesce(mt.m, 0e0) END AS m, idf
+  FROM c0 JOIN lw AS l ON l.query_id = c0.query_id AND l.list <> 'anchor' JOIN nt ON nt.id = c0.id LEFT JOIN mt ON mt.word = l.word AND mt.token = nt.st),
+cc AS (SELECT query_id, id, max(c) AS cov FROM (SELECT query_id, id, idx, avg(hit) AS c FROM (SELECT query_id, id, idx, pos, max(CASE WHEN m0 >= 8e-1 THEN 1 ELSE 0 END) AS hit FROM wm WHERE list = 'content' GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+bs AS (SELECT query_id, id, idx, pos, max(m) AS m, arg_max(st, (m, -j)) AS st, any_value(idf) AS idf FROM wm WHERE list = 'match' GROUP BY 1, 2, 3, 4),
+pn AS (SELECT query_id, id, idx, round(sum(m * idf) / sum(idf), 9) AS cover, avg(m) AS plain, min(m) AS low, list_distinct(list(st) FILTER (m > 0)) AS used FROM bs GROUP BY 1, 2, 3),
+pe AS (SELECT pn.*, stems, CASE WHEN len(own) > 0 THEN len(list_filter(own, lambda x: list_contains(coalesce(used, []), x))) * 1e0 / len(own) ELSE CASE WHEN len(used) > 0 THEN 1e0 ELSE 0e0 END END AS ent FROM pn JOIN nn USING (id, idx)),
+tp AS (SELECT query_id, id, arg_max(struct_pack(cover := cover, ent := ent, idx := idx, plain := plain, low := low, stems := stems), (cover, ent, -idx)) AS t FROM pe GROUP BY 1, 2),
+c AS (SELECT c0.query_id, c0.id, p.* EXCLUDE (query_id), e.* EXCLUDE (id), coalesce(cov, 0e0) AS cov, t, n0.stems AS first, CASE WHEN len(n0.own) > 0 THEN n0.own ELSE n0.stems END AS core, coalesce(t.stems, n0.stems) AS full_name,
+  (SELECT flatten(list(toks)) FROM nn WHERE nn.id = c0.id) AS surface, (SELECT bool_or(len(stems) = n_content) FROM nn WHERE nn.id = c0.id) AS same_len
+  FROM c0 JOIN p ON p.query_id = c0.query_id JOIN ent e ON e.id = c0.id JOIN nn n0 ON n0.id = c0.id AND n0.idx = 0 LEFT JOIN cc ON cc.query_id = c0.query_id AND cc.id = c0.id LEFT JOIN tp ON tp.query_id = c0.query_id AND tp.id = c0.id
+  WHERE NOT coalesce(p.anchor_id = c0.id AND p.n_name = 0, FALSE) AND NOT (p.strict AND e.cat <> p.want AND coalesce(cov, 0e0) < 9.9e-1)),
+g AS (SELECT *, CASE WHEN n_content > n_match THEN cov ELSE coalesce(t.plain, 0e0) END AS all_cover, array_to_string(core, ' ') AS s_core, array_to_string(full_name, ' ') AS s_full, {Q.km('lng', 'lat', 'ax', 'ay')} AS da, {Q.km('lng', 'lat', 'fx', 'fy')} AS df,
+  in_county OR {Q.km('lng', 'lat', '2.55887e1', '4.56427e1')} < 35 AS home, {Q.km('fx', 'fy', '2.55887e1', '4.56427e1')} < 50 AS home_focus FROM c),
+sc AS (SELECT query_id, id, name, lng, lat, round(3 * all_cover + CASE WHEN all_cover >= 9.9e-1 AND same_len THEN 2 ELSE 0 END + coalesce(len(list_filter(content, lambda x: list_contains(surface, x))) * 1e0 / len(content), 0e0) + 4 * coalesce(t.cover, 0e0) + 1.5e0 * coalesce(t.ent, 0e0)
+  + CASE WHEN q_stem IN (s_core, s_full) THEN 2 ELSE 0 END + CASE WHEN q_full <> '' AND q_full = s_full THEN 1 ELSE 0 END + CASE WHEN starts_with(s_core, q_stem) OR starts_with(s_full, q_stem) THEN 8e-1 ELSE 0e0 END + coalesce(t.low, 0e0) - CASE WHEN t.idx > 0 THEN 3e-1 ELSE 0e0 END
+  + CASE WHEN want = 7 AND (list_contains(first, 'lake') OR len(list_filter(first, lambda x: damerau_levenshtein('lake', x) <= 1)) > 0) OR want = 16 AND len(list_filter(first, lambda x: damerau_levenshtein('cabana', x) <= 1)) > 0 THEN 8e-1 ELSE 0e0 END
+  + CASE WHEN want = cat THEN 2 ELSE 0 END + 1.6e0 * imp / 100 - 2.2e0 * coalesce(log10(1 + da) / 3, 0e0) + CASE WHEN CASE WHEN abox THEN lng BETWEEN ax - 2e-2 AND ax + 3e-2 AND lat BETWEEN ay - 1.5e-2 AND ay + 2e-2 ELSE coalesce(da < 5, FALSE) END THEN 6e-1 ELSE 0e0 END
+  - 9e-1 * log10(1 + df) / 3 - CASE WHEN near_me THEN 1.5e0 * log10(1 + df) / 3 ELSE 0e0 END + CASE WHEN home THEN 2.5e-1 ELSE 0e0 END + CASE WHEN home AND home_focus THEN 5e-1 ELSE 0e0 END, 9) AS score FROM g),
+s AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS nx FROM sc WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, id)),
+d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, lower(name), floor(lng * 50 + 5e-1), floor(lat * 50 + 5e-1) ORDER BY r) = 1)
+SELECT d.query_id, id, name, round(score, 6) AS score, CAST(rank AS INT) AS rank, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM d) d
+ JOIN (SELECT query_id, coalesce(score - nx, 5e0) AS confidence FROM s WHERE r = 1) k ON k.query_id = d.query_id WHERE rank <= 12"""
+
+
+_WORDS = f"(SELECT DISTINCT unnest(string_split({_FOLD.format('query')}, ' ')) AS word, query_id % 2 = 0 AS typing FROM {QUERY_SQL})"
+
+
+@query("expand_tokens", f"WITH {NAMES_CTE}l AS MATERIALIZED (SELECT * FROM {_WORDS}), wd AS (SELECT DISTINCT word, {_stem_sql('word')} AS sw FROM l),\n{MATCH_CTE.rstrip().rstrip(',')} SELECT word, typing, token, round(match, 6) AS match FROM ex")
 def _(d):
     _, ix = _index(d)
     w = queries(d).select(F.explode(X.tokens(F.col("query"))).alias("word"), (F.col("query_id") % 2 == 0).alias("typing"))
     return S.expand_tokens(w, ix).select("word", "typing", "token", F.round("match", 6).alias("match"))
 
 
-@query("retrieve")
+_ALL_WORDS = f"(SELECT query_id, toks[i] AS word, i = len(toks) AS typing FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT query_id, string_split({_FOLD.format('query')}, ' ') AS toks FROM {QUERY_SQL})))"
+
+
+@query("retrieve", f"""WITH {NAMES_CTE}l AS MATERIALIZED (SELECT *, {_stem_sql('word')} AS sw FROM {_ALL_WORDS}), wd AS (SELECT DISTINCT word, sw FROM l),\n{MATCH_CTE}
+pw AS (SELECT word, typing, id, max(match) AS m FROM ex JOIN post USING (token) GROUP BY 1, 2, 3),
+h AS (SELECT query_id, id, sum(m * greatest(1e0, ln(1 + n / (1 + coalesce(df, 0))))) AS s FROM l JOIN pw USING (word, typing) CROSS JOIN tot LEFT JOIN vocab v ON v.token = sw GROUP BY 1, 2)
+SELECT query_id, count(*) AS hits, round(max(round(s, 9)), 6) AS best FROM h GROUP BY query_id""")
 def _(d):
     e, ix = _index(d)
     w = queries(d).select("query_id", X.tokens(F.col("query")).alias("t")).select("query_id", F.posexplode("t").alias("pos", "word"), (F.size("t") - 1).alias("n"))
@@ -168,7 +245,7 @@ def _(d):
     return S.browse(q, "query_id", d.places, [4, 7, 16]).select("query_id", "id", "score", "rank")
 
 
-@query("resolve_anchor")
+@query("resolve_anchor", ANCHOR_CTE + " SELECT query_id, id AS anchor_id FROM an")
 def _(d):
     e, ix = _index(d)
     return S.resolve_anchor(S.rule_parse(queries(d)), ix, e)
@@ -312,7 +389,7 @@ def _(d):
     return S.rank_results(scored, e).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("search_places")
+@query("search_places", SEARCH_SQL)
 def _(d):
     e, ix = _index(d)
     return S.search(queries(d), ix, e).select("query_id", "id", "name", F.round("score", 6).alias("score"), "rank", F.round("confidence", 6).alias("confidence"))

@@ -205,22 +205,28 @@ def _(d):
 
 
 @query("decode_byte_grid", """
-SELECT cy AS path, cx, q FROM v_density_cells WHERE cy IN (SELECT cy FROM v_density_cells GROUP BY cy HAVING count(*) = 50)""")
+WITH w AS (SELECT max(cx) + 1 AS w FROM v_density_cells), r AS (SELECT DISTINCT cy FROM v_density_cells), g AS (SELECT cy, unnest(range(w)) AS cx FROM r, w)
+SELECT CAST(g.cy AS STRING) AS path, CAST(g.cx AS INT) AS cx, CAST(coalesce(q, 0) AS INT) AS q FROM g LEFT JOIN v_density_cells c ON c.cx = g.cx AND c.cy = g.cy""")
 def _(d):
-    row = d.density_cells.groupBy("cy").agg(F.array_sort(F.collect_list(F.struct("cx", "q"))).alias("v")).where(F.size("v") == 50)
-    files = row.select(F.col("cy").alias("path"), F.unhex(F.array_join(F.transform("v", lambda c: F.lpad(F.hex(c["q"]), 2, "0")), "")).alias("content"))
-    return grids.decode_byte_grid(files, 50, 1).select("path", "cx", "q")
+    width = (d.density_cells.agg(F.max("cx")).first()[0] or 0) + 1
+    at = F.map_from_entries(F.collect_list(F.struct("cx", "q")))
+    row = d.density_cells.groupBy("cy").agg(at.alias("v"))
+    value = lambda x: F.lpad(F.hex(F.coalesce(F.try_element_at("v", x), F.lit(0)).cast("long")), 2, "0")
+    files = row.select(F.col("cy").cast("string").alias("path"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), value), "")).alias("content"))
+    return grids.decode_byte_grid(files, width, 1).select("path", "cx", "q")
 
 
 @query("write_byte_grid", """
-SELECT tile_lon, tile_lat, count(*) AS cells, CAST(sum(q) AS BIGINT) AS total FROM (
-  SELECT CAST(floor(24 + cx / 1e1) AS INT) AS tile_lon, CAST(ceil(47 - cy / 1e1 - 1e-9) AS INT) - 1 AS tile_lat, CASE WHEN cy % 20 < 10 THEN q ELSE 0 END AS q FROM v_density_cells)
+SELECT tile_lon, tile_lat, CAST(100 AS BIGINT) AS cells, CAST(sum(q) AS BIGINT) AS total, CAST(sum(q * (ix * 7 + iy)) AS BIGINT) AS placed FROM (
+  SELECT CAST(floor(24 + cx / 1e1) AS INT) AS tile_lon, CAST(ceil(47 - cy / 1e1 - 1e-9) AS INT) - 1 AS tile_lat, cx % 10 AS ix, cy % 10 AS iy, CASE WHEN cy % 20 < 10 THEN q ELSE 0 END AS q FROM v_density_cells)
 GROUP BY tile_lon, tile_lat HAVING sum(q) > 0""")
 def _(d):
     cells = d.density_cells.withColumn("q", F.when(F.col("cy") % 20 < 10, F.col("q")).otherwise(0))
     path = scratch(d.spark, "fine")
-    grids.write_byte_grid(grids.fine_tiles(cells, 24.0, 47.0, 0.1, 10), path)
-    return d.spark.read.parquet(path).groupBy("tile_lon", "tile_lat").agg(F.count(F.lit(1)).alias("cells"), F.sum("q").alias("total"))
+    grids.write_byte_grid(grids.fine_tiles(cells, 24.0, 47.0, 0.1, 10), path, 10)
+    name = lambda k: F.regexp_extract("path", r"(-?\d+)_(-?\d+)\.bin$", k).cast("int")
+    return grids.read_byte_grid(d.spark, path, 10, 10).groupBy(name(1).alias("tile_lon"), name(2).alias("tile_lat")).agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("q").alias("total"), F.sum(F.col("q") * (F.col("cx") * 7 + F.col("cy"))).alias("placed"))
 
 
 @query("decode_dem_pixels", "SELECT p_partkey, (128 + p_size % 8) * 256 + p_partkey % 256 + (p_size * 5 % 256) / 2.56e2 - 32768 AS ele FROM part")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fellwalk import plans
 from fellwalk.functions import risk, text, trails
 from fellwalk.functions.geo import haversine_m, utm
-from fellwalk.operators import detect, gazetteer, graphs, nav, routing, spatial
+from fellwalk.operators import density, detect, gazetteer, graphs, nav, routing, spatial
 from fellwalk.operators.ordered import running_sums, with_neighbour
 
 
@@ -316,3 +316,22 @@ def test_search_finds_places_by_name_type_and_typos(spark):
     q = spark.createDataFrame([(i, t, 25.5887, 45.6427) for i, t in enumerate(want)], "query_id long, query string, focus_lng double, focus_lat double")
     got = {r.query_id: r.name for r in search.search(q, ix, e).where("rank = 1").collect()}
     assert got == dict(enumerate(want.values()))
+
+
+def test_ranks_of_hot_groups(spark):
+    """Exact medians and areas with ties, where one group holds nearly all rows; no window takes a whole group."""
+    rnd = random.Random(3)
+    rows = [("hot", round(rnd.random(), 2), int(rnd.random() < 0.3)) for _ in range(5000)] + [("one", 0.5, 1), ("two", 0.1, 0), ("two", 0.4, 1), ("none", None, 0)]
+    df = spark.createDataFrame(rows, "mode string, v double, y int").repartition(4)
+    got = {r["mode"]: r["m"] for r in routing.upper_median(df, ["mode"], "v", "m").collect()}
+    by = {}
+    for m, v, _ in rows:
+        if v is not None:
+            by.setdefault(m, []).append(v)
+    assert got == {m: sorted(v)[len(v) // 2] for m, v in by.items()}
+    hot = [(v, y) for m, v, y in rows if m == "hot"]
+    pos, neg = [v for v, y in hot if y], [v for v, y in hot if not y]
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
+    r = density.auc(df.where("mode = 'hot'"), "v", "y").first()
+    assert abs(r.auc - want) < 1e-9 and (r.positives, r.negatives) == (len(pos), len(neg))
+    assert density.auc(df.where("mode = 'one'"), "v", "y").first().auc is None
