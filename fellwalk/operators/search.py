@@ -286,7 +286,7 @@ def with_word_maps(parsed: DataFrame, words: DataFrame, table: DataFrame, index:
 def resolve_anchor(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """(query_id, anchor_id) of the place named by the anchor words. parsed has focus_lng, focus_lat; hits(query_id, id, retrieval) and m_anchor may be there already."""
     if hits is None:
-        parsed, lists = prepared(parsed.withColumns({"match": F.array().cast("array<string>"), "content": F.array().cast("array<string>"), "typing": F.lit(False)}), index, entries)
+        parsed, lists, _ = prepared(parsed.withColumns({"match": F.array().cast("array<string>"), "content": F.array().cast("array<string>"), "typing": F.lit(False)}), index, entries)
         hits = lists.where("list = 'anchor'")
     cat = F.get(F.array(*[F.lit(c) for c in CATS]), F.col("cat"))
     bonus = F.lit(0.0)
@@ -298,8 +298,8 @@ def resolve_anchor(parsed: DataFrame, index: dict[str, DataFrame], entries: Data
     return s.groupBy("query_id").agg(F.max(F.struct(F.round("s", 9).alias("s"), "id")).alias("b")).select("query_id", F.col("b.id").alias("anchor_id"))
 
 
-def prepared(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parsed queries with word maps, and the entries that each list of words reaches (query_id, list, id, retrieval)."""
+def prepared(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed queries with word maps, the entries that each list of words reaches (query_id, list, id, retrieval), and the words' match table."""
     words = cut(list_words(parsed))
     table = cut(match_table(words, index["names"].select(F.explode("stems").alias("token"))))
     total = entries.agg(F.count(F.lit(1))).scalar()
@@ -307,7 +307,7 @@ def prepared(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame)
     expanded = expand_tokens(words.select("word", "typing"), index, table)
     # `content` is looked up only where it says more than `match`
     more = words.join(parsed.where(F.size("content") > F.size("match")).select("query_id", F.lit("content").alias("list")), ["query_id", "list"], "left_semi")
-    return p, cut(reach(words.where("list <> 'content'").unionByName(more), expanded, index, entries))
+    return p, cut(reach(words.where("list <> 'content'").unionByName(more), expanded, index, entries)), table
 
 
 def place_columns(entries: DataFrame) -> DataFrame:
@@ -316,14 +316,14 @@ def place_columns(entries: DataFrame) -> DataFrame:
     return entries.withColumns({k: v for k, v in more.items() if k not in entries.columns})
 
 
-def candidates(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate entries per query (query_id, id, retrieval) and the parsed queries with anchor columns and word maps.
+def candidates(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate entries per query (query_id, id, retrieval), the parsed queries with anchor columns and word maps, and the words' match table.
 
     parsed(query_id, query, tokens, roles, cats, name, cue, anchor, near_me, focus_lng, focus_lat).
     """
     entries = place_columns(entries)
     p = top_cats(content_words(parsed)).withColumns({"typing": ~F.col("query").rlike(r"\s$"), "match": F.when(F.size("name") > 0, F.col("name")).otherwise(F.col("cue"))})
-    p, lists = prepared(p, index, entries)
+    p, lists, table = prepared(p, index, entries)
     a = resolve_anchor(p, index, entries, lists.where("list = 'anchor'")).join(entries.select(
         F.col("id").alias("anchor_id"), F.col("lng").alias("a_lng"), F.col("lat").alias("a_lat"), F.col("cat").alias("a_cat"), F.col("bbox").alias("a_bbox")), "anchor_id")
     p = cut(p.join(a, "query_id", "left"))
@@ -338,7 +338,7 @@ def candidates(parsed: DataFrame, index: dict[str, DataFrame], entries: DataFram
     c = c.join(p.select("query_id", "anchor_id", "name", "cue", "top_cats", "m_content"), "query_id").join(entries.select("id", "cat"), "id").join(index["entry_names"], "id")
     c = c.where(~(F.coalesce(F.col("anchor_id") == F.col("id"), F.lit(False)) & (F.size("name") == 0)))
     strict = (F.size("name") == 0) & (F.size("cue") > 0) & (F.size("top_cats") > 0) & ~F.array_contains("top_cats", F.col("cat"))
-    return c.where(F.when(strict, coverage(F.col("m_content"), F.col("nm")) >= 0.99).otherwise(True)).select("query_id", "id", "retrieval"), p
+    return c.where(F.when(strict, coverage(F.col("m_content"), F.col("nm")) >= 0.99).otherwise(True)).select("query_id", "id", "retrieval"), p, table
 
 
 FEATURES = ["name_cover", "name_cover_plain", "entity_cover", "exact_name", "exact_full", "prefix_name", "min_match", "alt_only", "cue_in_name", "cat_prob", "cat_any",
@@ -366,6 +366,59 @@ def name_fit(words: Column, name: Column) -> Column:
     return let(F.transform(words, best), fit)
 
 
+def place_features(f: DataFrame) -> dict[str, Column]:
+    """The features that need no names: category, importance and distances, for rows with the columns of query and entry."""
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
+    zero, lg = F.lit(0.0), lambda d: F.log10(1 + d) / 3
+    d_a, d_f = planar_km("lng", "lat", "a_lng", "a_lat"), planar_km("lng", "lat", "focus_lng", "focus_lat")
+    inside = (F.col("lng") >= F.col("a_bbox.x0")) & (F.col("lng") <= F.col("a_bbox.x1")) & (F.col("lat") >= F.col("a_bbox.y0")) & (F.col("lat") <= F.col("a_bbox.y1"))
+    home = F.coalesce(F.col("county") == HOME_COUNTY, F.lit(False)) | (planar_km("lng", "lat", F.lit(HOME[0]), F.lit(HOME[1])) < 35)
+    home_focus = planar_km("focus_lng", "focus_lat", F.lit(HOME[0]), F.lit(HOME[1])) < 50
+    prob = F.coalesce(F.get("cats", F.col("cat")), zero)
+    return {
+        "cat_prob": prob, "cat_any": F.get("cats", F.lit(36)), "cat_prob_cue": F.when(F.size("cue") > 0, prob).otherwise(0.0), "importance": F.col("imp") / 100,
+        "has_anchor": flag(F.col("anchor_id").isNotNull()), "d_anchor": F.coalesce(lg(d_a), zero), "in_anchor": flag(F.when(F.col("a_bbox").isNotNull(), inside).otherwise(d_a < 5)),
+        "d_focus": lg(d_f), "near_me_dist": F.when(F.col("near_me"), lg(d_f)).otherwise(0.0), "home": flag(home), "home_focus": flag(home & home_focus)}
+
+
+def score_bounds(cands: DataFrame, parsed: DataFrame, table: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
+    """(query_id, id, bound): an upper bound of each candidate's hand-set score, without its names.
+
+    Every word counts with its best match anywhere in the entry, so what a single name gives is at most that; exact
+    and prefix features are possible only if all words, or all but the last, match fully. Place features are exact.
+    """
+    tokens = index["names"].select("id", F.explode("stems").alias("token")).distinct()
+    best = table.join(tokens, "token").groupBy("word", "id").agg(F.max("m").alias("m"))
+    rows = parsed.select("query_id", F.explode(F.array(*[F.struct(F.lit(k).alias("list"), F.col(f"m_{k}").alias("ws")) for k in LISTS[:2]])).alias("l"))
+    rows = rows.select("query_id", "l.list", F.size("l.ws").alias("n"), F.posexplode("l.ws").alias("pos", "w")).select("query_id", "list", "n", "pos", "w.word", "w.last", "w.idf")
+    m = F.when(F.col("last"), F.greatest("m", F.lit(0.9))).otherwise(F.col("m"))
+    own = lambda c: F.when(F.col("list") == "match", c)
+    full = F.col("m") >= 0.95
+    sums = rows.join(best, "word").groupBy("query_id", "id").agg(
+        F.coalesce(F.sum(own(m * F.col("idf"))), F.lit(0.0)).alias("cover"), F.coalesce(F.sum(own(m)), F.lit(0.0)).alias("plain"), F.count(own(F.col("m"))).alias("hits"), F.min(own(m)).alias("low"),
+        F.count(own(F.when(full, 1))).alias("fit"), F.count(own(F.when(full & (F.col("pos") < F.col("n") - 1), 1))).alias("head"),
+        F.count(F.when((F.col("list") == "content") & (F.col("m") >= 0.8), 1)).alias("well"))
+    e = place_columns(entries).select("id", "cat", "lng", "lat", "imp", "county")
+    need = ["query_id", "cats", "cue", "anchor_id", "a_lng", "a_lat", "a_bbox", "focus_lng", "focus_lat", "near_me"]
+    total = F.aggregate("m_match", F.lit(0.0), lambda a, w: a + w["idf"])
+    # an unfinished word of two letters may begin any token, and a stem with a stem of its own equal one, without a full match in the table
+    loose = F.exists("m_match", lambda w: (w["last"] & (F.length(w["word"]) < 3)) | (X.stem(X.stem(w["word"])) != X.stem(w["word"])))
+    q = parsed.select(*need, F.size("m_match").alias("nm"), F.size("m_content").alias("nc"), total.alias("idfs"), loose.alias("loose"))
+    f = cands.select("query_id", "id").join(q, "query_id").join(e, "id").join(sums, ["query_id", "id"], "left").na.fill(0, ["cover", "plain", "hits", "low", "fit", "head", "well"])
+    nm, all_hit = F.col("nm"), F.col("hits") == F.col("nm")
+    plain = F.when(nm > 0, F.col("plain") / nm).otherwise(0.0)
+    cover = F.when(F.col("nc") > nm, F.col("well") / F.col("nc")).otherwise(plain)
+    names = {"name_cover": F.when(nm > 0, F.col("cover") / F.col("idfs")).otherwise(0.0), "all_cover": cover, "all_exact": (cover >= 0.98).cast("double"), "surface_exact": F.lit(1.0), "entity_cover": (F.col("hits") > 0).cast("double"),
+             "exact_name": (F.col("fit") == nm).cast("double"), "exact_full": (F.col("fit") == nm).cast("double"), "prefix_name": (F.col("head") >= nm - 1).cast("double"), "min_match": F.when(all_hit, F.col("low")).otherwise(0.0),
+             "cue_in_name": (F.size("cue") > 0).cast("double")}
+    bound = F.lit(0.0)
+    for k, v in names.items():
+        bound = bound + HEURISTIC[k] * F.when(F.col("loose"), 1.0).otherwise(v)
+    for k, v in place_features(f).items():
+        bound = bound + HEURISTIC.get(k, 0) * v
+    return f.select("query_id", "id", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
+
+
 def ranking_features(cands: DataFrame, parsed: DataFrame, index: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
     """The 26 named features per (query, entry); the 36 category one-hots follow from `cat`.
 
@@ -391,21 +444,14 @@ def ranking_features(cands: DataFrame, parsed: DataFrame, index: dict[str, DataF
     f = f.withColumns({"s_core": join("core"), "s_full": join("full"), "all_c": F.when(more, F.when(F.size("m_content") > 0, coverage(F.col("m_content"), F.col("nm"))).otherwise(0.0)).otherwise(F.col("plain"))})
     flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
     cue_in = F.exists("cues", lambda c: F.exists("first", lambda t: (t == c) | ((F.length(c) >= 4) & X.within_one(c, t))))
-    d_a, d_f = planar_km("lng", "lat", "a_lng", "a_lat"), planar_km("lng", "lat", "focus_lng", "focus_lat")
-    lg = lambda d: F.log10(1 + d) / 3
-    inside = (F.col("lng") >= F.col("a_bbox.x0")) & (F.col("lng") <= F.col("a_bbox.x1")) & (F.col("lat") >= F.col("a_bbox.y0")) & (F.col("lat") <= F.col("a_bbox.y1"))
-    home = F.coalesce(F.col("county") == HOME_COUNTY, F.lit(False)) | (planar_km("lng", "lat", F.lit(HOME[0]), F.lit(HOME[1])) < 35)
-    home_focus = planar_km("focus_lng", "focus_lat", F.lit(HOME[0]), F.lit(HOME[1])) < 50
     has_match = F.size("match") > 0
-    prob = F.coalesce(F.get("cats", F.col("cat")), zero)
+    place = place_features(f)
     said = (F.col("q_stem") != "")
     cols = {
         "name_cover": F.coalesce("t.cover", zero), "name_cover_plain": F.col("plain"), "entity_cover": F.coalesce("t.ent", zero),
         "exact_name": flag(said & ((F.col("q_stem") == F.col("s_core")) | (F.col("q_stem") == F.col("s_full")))), "exact_full": flag((F.col("q_full") != "") & (F.col("q_full") == F.col("s_full"))),
         "prefix_name": flag(said & (F.col("s_core").startswith(F.col("q_stem")) | F.col("s_full").startswith(F.col("q_stem")))), "min_match": F.coalesce("t.low", zero),
-        "alt_only": flag(F.col("t.ni") < 0), "cue_in_name": flag(cue_in), "cat_prob": prob, "cat_any": F.get("cats", F.lit(36)), "cat_prob_cue": F.when(F.size("cue") > 0, prob).otherwise(0.0),
-        "importance": F.col("imp") / 100, "has_anchor": flag(F.col("anchor_id").isNotNull()), "d_anchor": F.coalesce(lg(d_a), zero), "in_anchor": flag(F.when(F.col("a_bbox").isNotNull(), inside).otherwise(d_a < 5)), "d_focus": lg(d_f),
-        "near_me_dist": F.when(F.col("near_me"), lg(d_f)).otherwise(0.0), "home": flag(home), "home_focus": flag(home & home_focus),
+        "alt_only": flag(F.col("t.ni") < 0), "cue_in_name": flag(cue_in), **place,
         "extra_tokens": F.least(F.lit(1.0), F.greatest(F.lit(0), F.size("core") - F.col("extra_hits")) / 4), "name_len": F.least(F.lit(1.0), F.size("first") / 6),
         "typing_flag": flag(F.col("typing") & has_match & ~F.array_contains("full", X.stem(F.element_at("match", F.when(has_match, -1))))),
         "all_cover": F.col("all_c"), "all_exact": flag((F.col("all_c") >= 0.99) & F.exists("nm", lambda n: F.size(n["stems"]) == F.size("content"))),
@@ -447,9 +493,20 @@ def rank_results(scored: DataFrame, entries: DataFrame, limit: int = 12) -> Data
 
 
 def search(queries: DataFrame, index: dict[str, DataFrame], entries: DataFrame, limit: int = 12) -> DataFrame:
-    """Rule parse, candidates, features, hand-set score, ranking. queries(query_id, query, focus_lng, focus_lat)."""
-    c, p = candidates(rule_parse(queries), index, entries)
-    return rank_results(heuristic_score(cut(ranking_features(c, p, index, entries))), entries, limit)
+    """Rule parse, candidates, features, hand-set score, ranking. queries(query_id, query, focus_lng, focus_lat).
+
+    Exact top results by upper bounds: the candidates with the greatest bounds are scored first; the score of a query's
+    last result on that page is then a threshold, and of the others only those whose bound reaches it are scored.
+    """
+    c, p, table = candidates(rule_parse(queries), index, entries)
+    b = cut(score_bounds(c, p, table, index, entries))
+    scored = lambda rows: cut(heuristic_score(ranking_features(rows, p, index, entries)).select("query_id", "id", "score"))
+    w = W.partitionBy("query_id").orderBy(F.desc("bound"), "id")
+    b = cut(b.withColumn("early", F.row_number().over(w) <= 3 * limit))
+    first = scored(b.where("early"))
+    page = rank_results(first, entries, limit).where(F.col("rank") == limit).select("query_id", (F.col("score") - 1e-6).alias("least"))
+    rest = b.where("not early").join(page, "query_id", "left").where(F.coalesce(F.col("bound") >= F.col("least"), F.lit(True)))
+    return rank_results(first.unionByName(scored(rest)), entries, limit)
 
 
 def local_search(queries: DataFrame, places: DataFrame, limit: int = 8) -> DataFrame:
