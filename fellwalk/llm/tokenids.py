@@ -51,7 +51,7 @@ KINDS = ("bit", "byte")
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Words of Latin letters that no other letter can follow, any other stretch without white space, and white space.
 PIECE = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?![^\x00-\x7f])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-KEPT, LONGEST = 1 << 18, 64
+KEPT, LONGEST = 1 << 19, 64
 #: Ids in the part of a shard that one task reads back.
 SEGMENT = 1 << 22
 WRITTEN = "shard long, first long, stop long, n_ids long"
