@@ -133,7 +133,7 @@ def visit(block: Block, rows: np.ndarray, may: Callable[[int, np.ndarray, np.nda
     return scored
 
 
-def nearest(block: Block, keep: int) -> tuple[Callable, Callable, list]:
+def nearest(block: Block, keep: int) -> tuple[Callable, list]:
     """The rules of the first pass: the first `keep` rows of each anchor's own label."""
     best: list[list[list[tuple[int, int]]]] = [[[]] for _ in block.ids]
 
