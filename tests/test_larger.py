@@ -40,7 +40,7 @@ def stacked(tmp_path_factory):
                   lineitem="SELECT * REPLACE (l_partkey + l_linenumber % 2 * 60000 AS l_partkey) FROM lineitem")
 
 
-@pytest.mark.parametrize("name", ["edge_slope", "edge_time", "expert_speed", "learned_speed"])
+@pytest.mark.parametrize("name", ["edge_slope", "edge_time", "expert_speed", "learned_speed", "route_features"])
 def test_edges_without_length_have_no_slope(spark, stacked, name):
     rows = same_rows(spark, stacked, name)
     if name == "edge_slope":  # columns dst, slope, src, way_id
