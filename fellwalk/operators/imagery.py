@@ -20,9 +20,12 @@ WATER_KINDS = ["river", "stream", "canal", "drain", "ditch", "tidal_channel", "b
 
 
 def scene_score(scenes: DataFrame, now) -> DataFrame:
-    """Lower is better: cloud, then swath gaps, then age in days."""
-    age = (F.unix_millis(col(now).cast("timestamp")) - F.unix_millis(F.col("acquired_at").cast("timestamp"))) / 86400000
-    return scenes.withColumn("score", F.col("cloud") + NODATA_WEIGHT * F.col("nodata") + AGE_WEIGHT * age)
+    """Lower is better: cloud, then swath gaps, then age in days.
+
+    The terms are worked out in the order of the SQL twin, as scores that differ in the last bit decide ranks.
+    """
+    age_ms = F.unix_millis(col(now).cast("timestamp")) - F.unix_millis(F.col("acquired_at").cast("timestamp"))
+    return scenes.withColumn("score", F.col("cloud") + NODATA_WEIGHT * F.col("nodata") + AGE_WEIGHT * age_ms / 86400000)
 
 
 def best_scenes_per_grid(scenes: DataFrame, n: int = SCENES_PER_GRID) -> DataFrame:
