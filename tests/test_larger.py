@@ -47,7 +47,7 @@ def test_edges_without_length_have_no_slope(spark, stacked, name):
         assert {s for dst, s, src, _ in rows if abs(dst - src) == 60000} == {0.0}
 
 
-@pytest.mark.parametrize("name", ["best_scenes_per_grid"])
+@pytest.mark.parametrize("name", ["best_scenes_per_grid", "paint_order"])
 def test_scenes_apart_in_the_last_bit(spark, tmp_path, name):
     # scores of 14.24: the order of the operations decides which of the two is smaller
     order = "SELECT * REPLACE ({key} AS o_orderkey, 0 AS o_custkey, 100.0 AS o_totalprice, DATE '1999-01-01' - {days} AS o_orderdate) FROM (SELECT * FROM orders LIMIT 1)"
