@@ -53,3 +53,14 @@ def test_scenes_apart_in_the_last_bit(spark, tmp_path, name):
     order = "SELECT * REPLACE ({key} AS o_orderkey, 0 AS o_custkey, 100.0 AS o_totalprice, DATE '1999-01-01' - {days} AS o_orderdate) FROM (SELECT * FROM orders LIMIT 1)"
     folder = tables(tmp_path, orders=f"{order.format(key=1000, days=178)} UNION ALL {order.format(key=2004, days=163)}")
     assert same_rows(spark, folder, name)
+
+
+def test_slices_of_many_files_lose_no_request(spark, tmp_path):
+    # long sessions, so that a slice is longer than the lateness that the stream allows, in several files
+    folder = tables(tmp_path, events="SELECT * REPLACE (user_id % 6 AS user_id) FROM events")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert same_rows(spark, folder, "scan_requests_stream")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
