@@ -64,3 +64,9 @@ def test_slices_of_many_files_lose_no_request(spark, tmp_path):
         assert same_rows(spark, folder, "scan_requests_stream")
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+
+
+@pytest.mark.parametrize("name", ["elevation_lookup"])
+def test_nothing_that_grows_is_broadcast(spark, name):
+    plan = plans.all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
