@@ -66,7 +66,7 @@ def test_slices_of_many_files_lose_no_request(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
 
 
-@pytest.mark.parametrize("name", ["announcements", "arrived", "elevation_lookup", "follow_route", "maneuvers", "nearest_point_on_lines", "snap_positions"])
+@pytest.mark.parametrize("name", ["announcements", "arrived", "elevation_lookup", "follow_route", "maneuvers", "merge_linear", "nearest_point_on_lines", "snap_positions"])
 def test_nothing_that_grows_is_broadcast(spark, name):
     plan = plans.all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
