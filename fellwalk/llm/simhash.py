@@ -46,19 +46,23 @@ def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> list[int]:
     return [digest(joined[a:b - 1], seed) for a, b in zip(starts, ends[width - 1:])]
 
 
+def majority(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprints of lists of hashes laid end to end, n of each: a bit is 1 if it is set in more than half of a list."""
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        bits = np.unpackbits(flat.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, np.r_[0, np.cumsum(n[full])[:-1]], axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * counts > n[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def fingerprints_of(texts: list[bytes], width: int = 3, seed: int = 42) -> np.ndarray:
     """64-bit fingerprints: a bit is 1 if it is set in more than half of the text's shingle hashes."""
     out = np.zeros(len(texts), np.uint64)
     for lo, hi in blocks([len(t) for t in texts], 1 << 20):
         hashes = [shingle_hashes(t, width, seed) for t in texts[lo:hi]]
-        n = np.array([len(h) for h in hashes])
-        full = np.flatnonzero(n)
-        if not len(full):
-            continue
-        flat = np.array([x for h in hashes for x in h], dtype="<u8")
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, np.r_[0, np.cumsum(n[full])[:-1]], axis=0, dtype=np.int32)
-        out[lo + full] = np.packbits(2 * counts > n[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        out[lo:hi] = majority(np.array([x for h in hashes for x in h], dtype="<u8"), np.array([len(h) for h in hashes]))
     return out
 
 
