@@ -50,7 +50,10 @@ def imagery_dates(views: DataFrame, ranked: DataFrame, first: int | None = None)
 
 
 def _covering(boxes: DataFrame, scenes: DataFrame, size: float = 0.5) -> DataFrame:
-    """Box and scene pairs where the scene fully covers the box; the box meets scenes at its corner's cell."""
+    """Box and extent pairs where the extent fully covers the box; the box meets extents at its corner's cell.
+
+    Scenes of one grid square share their extent, so callers reduce the scenes of an extent first.
+    """
     s = box_cells(scenes.select([F.col(c).alias(f"s_{c}") for c in scenes.columns]), "s_w", "s_s", "s_e", "s_n", size)
     b = boxes.withColumns({"_cx": F.floor(F.col("w") / size), "_cy": F.floor(F.col("s") / size)})
     return b.join(s, ["_cx", "_cy"]).where("s_w <= w and s_s <= s and s_e >= e and s_n >= n").drop("_cx", "_cy")
@@ -58,15 +61,16 @@ def _covering(boxes: DataFrame, scenes: DataFrame, size: float = 0.5) -> DataFra
 
 def clearest_summer_scene(boxes: DataFrame, scenes: DataFrame, max_nodata: float = 5.0) -> DataFrame:
     """Per box the clearest full scene, June to September first, then the newest. boxes(box_id, w, s, e, n)."""
-    c = _covering(boxes, scenes.where(F.col("nodata") < max_nodata))
-    order = F.struct(~F.month("s_acquired_at").between(6, 9), F.col("s_cloud"), -F.unix_timestamp(F.col("s_acquired_at").cast("timestamp")), F.col("s_id").alias("id"))
-    return c.groupBy("box_id").agg(F.min(order).alias("o")).select("box_id", F.col("o.id").alias("scene_id"))
+    order = F.struct((~F.month("acquired_at").between(6, 9)).alias("off"), "cloud", (-F.unix_timestamp(F.col("acquired_at").cast("timestamp"))).alias("age"), "id")
+    best = scenes.where(F.col("nodata") < max_nodata).groupBy("w", "s", "e", "n").agg(F.min(order).alias("best"))
+    return _covering(boxes, best).groupBy("box_id").agg(F.min("s_best").alias("o")).select("box_id", F.col("o.id").alias("scene_id"))
 
 
 def seasonal_scenes(boxes: DataFrame, scenes: DataFrame, n: int) -> DataFrame:
     """Up to n covering scenes from different months: the newest year's clearest of each month, clearest months first."""
-    c = _covering(boxes, scenes).withColumn("month", F.month("s_acquired_at"))
-    per = c.groupBy("box_id", "month").agg(F.min(F.struct((-F.year("s_acquired_at")).alias("y"), F.col("s_cloud").alias("cloud"), F.col("s_id").alias("id"))).alias("b"))
+    order = F.struct((-F.year("acquired_at")).alias("y"), "cloud", "id")
+    best = scenes.groupBy("w", "s", "e", "n", F.month("acquired_at").alias("month")).agg(F.min(order).alias("best"))
+    per = _covering(boxes, best).groupBy("box_id", F.col("s_month").alias("month")).agg(F.min("s_best").alias("b"))
     w = W.partitionBy("box_id").orderBy("b.y", "b.cloud", "b.id")
     return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("box_id", "month", F.col("b.id").alias("scene_id"), "rank")
 

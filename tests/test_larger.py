@@ -70,3 +70,10 @@ def test_slices_of_many_files_lose_no_request(spark, tmp_path):
 def test_nothing_that_grows_is_broadcast(spark, name):
     plan = plans.all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["clearest_summer_scene", "seasonal_scenes"])
+def test_scenes_of_one_extent_are_reduced_before_boxes(spark, name):
+    plan = plans.all_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Join Inner")[1]
+    assert same_rows(spark, SF, name)
