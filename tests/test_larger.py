@@ -77,3 +77,14 @@ def test_scenes_of_one_extent_are_reduced_before_boxes(spark, name):
     plan = plans.all_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Join Inner")[1]
     assert same_rows(spark, SF, name)
+
+
+@pytest.mark.parametrize("name", ["recent_sightings", "sighting_weights", "assess_risk"])
+def test_samples_are_taken_once_per_cell(spark, tmp_path, name):
+    # many sightings in each cell, and parts at one position
+    folder = tables(tmp_path, customer="SELECT c.* REPLACE (c_custkey + i * 300000 AS c_custkey) FROM customer c, range(5) r(i)",
+                    part="SELECT p.* REPLACE (p_partkey + i * 300000 AS p_partkey) FROM part p, range(2) r(i)")
+    plan = plans.all_queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    before = plan[plan.index("share("):]  # what the samples are taken of: points and cells, without ids of sightings
+    assert "Aggregate [x0" in before
+    assert same_rows(spark, folder, name)
