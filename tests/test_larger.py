@@ -88,3 +88,9 @@ def test_samples_are_taken_once_per_cell(spark, tmp_path, name):
     before = plan[plan.index("share("):]  # what the samples are taken of: points and cells, without ids of sightings
     assert "Aggregate [x0" in before
     assert same_rows(spark, folder, name)
+
+
+def test_sun_positions_are_worked_out_in_batches(spark):
+    plan = plans.all_queries()["daylight"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(sequence" not in plan
+    assert same_rows(spark, SF, "daylight")
