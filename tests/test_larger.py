@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from fellwalk import plans
+from fellwalk.operators import trails as T
 from fellwalk.plans.data import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +95,20 @@ def test_sun_positions_are_worked_out_in_batches(spark):
     plan = plans.all_queries()["daylight"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "aggregate(sequence" not in plan
     assert same_rows(spark, SF, "daylight")
+
+
+def test_views_over_the_same_tiles_are_counted_once(spark, tmp_path):
+    # ways and views come many times, at the same tiles; before, every view met every way
+    folder = tables(tmp_path, part="SELECT p.* REPLACE (p_partkey + i * 60000 AS p_partkey) FROM part p, range(3) r(i)",
+                    lineitem="SELECT l.* REPLACE (l_orderkey + i * 6000000 AS l_orderkey, l_partkey + i % 3 * 60000 AS l_partkey) FROM lineitem l, range(3) r(i)",
+                    orders="SELECT o.* REPLACE (o_orderkey + i * 6000000 AS o_orderkey) FROM orders o, range(3) r(i)")
+    plan = plans.all_queries()["trails_in_view"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [kind" in plan  # the ways, before they meet views
+    assert same_rows(spark, folder, "trails_in_view")
+    views = spark.createDataFrame([(k, 25.0 + k % 3 * 0.004, 45.0, 25.001 + k * 0.002, 45.002 + k % 2 * 0.006) for k in range(9)], "view_id long, w double, s double, e double, n double")
+    points = spark.createDataFrame([(w, i, 25.0 + w % 5 * 0.003 + i * 0.004, 45.0 + w * i % 4 * 0.003) for w in range(12) for i in range(2)], "way_id long, seq int, lng double, lat double")
+    shown = spark.createDataFrame([(w, ("marked", "hidden", "road")[w % 3]) for w in range(12)], "way_id long, kind string")
+    pairs = T.trails_in_view(shown, T.assign_cells(points, 16), views, ["marked", "hidden"], 6, 16)
+    want = {(r.view_id, r.kind): r["count"] for r in pairs.groupBy("view_id", "kind").count().collect()}
+    got = {(r.view_id, r.kind): r.trails for r in T.trails_per_view(shown, T.tile_boxes(points, 16), views, ["marked", "hidden"], 6, 16).collect()}
+    assert want and got == want
