@@ -23,6 +23,7 @@ BAND_M, PARALLEL_M, PARALLEL_SHARE = 8.0, 40.0, 0.6
 ALIGN = {"max_shift": 25.0, "min_prob": 0.3, "min_support": 0.6, "min_shift": 5.0, "taper": 30.0, "sample": 10.0, "step": 2.5}
 AGREE_M, AGREE_SHARE = 25.0, 0.5
 KEY = ["scan_id", "cx", "cy"]
+BLOCK = 64  # cells a side; only a way to deal rows
 
 
 def merc_x(lng) -> Column:
@@ -95,10 +96,15 @@ def rasterize_lines(segments: DataFrame, grids: DataFrame, radius_m: float, cell
 def trace_heat(segments: DataFrame, grids: DataFrame, cell_m: float) -> DataFrame:
     """Distinct traces, speed sum and speed count per cell of an 8 m band; speed counts every visit."""
     visits = line_cells(segments, grids, ["trace_id", "v"])
-    # visits of one trace to one line cell meet before the disc spreads them
-    per = visits.groupBy("scan_id", "trace_id", "cx", "cy", "width", "height").agg(F.sum("v").alias("v"), F.count("v").alias("k"))
-    spread = _inside(offsets(per, disc(BAND_M / cell_m)))
-    one = spread.groupBy(*KEY, "trace_id").agg(F.sum("v").alias("v"), F.sum("k").alias("k"))
+    reach = disc(BAND_M / cell_m)
+    r = max(x for x, _ in reach)
+    # the line cells near a block of one trace meet there, so that neither the cells of their discs nor these sums are shuffled
+    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - r) / BLOCK), F.floor((F.col(c) + r) / BLOCK)))
+    per = visits.withColumn("bx", blocks("cx")).withColumn("by", blocks("cy"))
+    dealt = per.repartition("scan_id", "trace_id", "bx", "by")
+    lines = dealt.groupBy("scan_id", "trace_id", "bx", "by", "cx", "cy", "width", "height").agg(F.sum("v").alias("v"), F.count("v").alias("k"))
+    spread = _inside(offsets(lines, reach)).where((F.floor(F.col("cx") / BLOCK) == F.col("bx")) & (F.floor(F.col("cy") / BLOCK) == F.col("by")))
+    one = spread.groupBy(*KEY, "trace_id", "bx", "by").agg(F.sum("v").alias("v"), F.sum("k").alias("k"))
     return one.groupBy(*KEY).agg(F.count(F.lit(1)).alias("heat"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("speed_sum"), F.sum("k").alias("speed_n"))
 
 

@@ -1,9 +1,12 @@
 """Queries against their SQL twins on small tables with what only larger tables hold."""
 
+import re
+
 import duckdb
 import pytest
 
 from fellwalk import plans
+from fellwalk.operators import detect as X
 from fellwalk.operators import trails as T
 from fellwalk.plans.data import TABLES
 
@@ -112,3 +115,13 @@ def test_views_over_the_same_tiles_are_counted_once(spark, tmp_path):
     want = {(r.view_id, r.kind): r["count"] for r in pairs.groupBy("view_id", "kind").count().collect()}
     got = {(r.view_id, r.kind): r.trails for r in T.trails_per_view(shown, T.tile_boxes(points, 16), views, ["marked", "hidden"], 6, 16).collect()}
     assert want and got == want
+
+
+@pytest.mark.parametrize("name", ["trace_heat", "candidate_cells"])
+@pytest.mark.parametrize("block", [64, 3])
+def test_bands_of_traces_are_not_shuffled(spark, monkeypatch, name, block):
+    monkeypatch.setattr(X, "BLOCK", block)  # small blocks: discs reach over several
+    plan = plans.all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert not [keys for keys in dealt if "trace_id" in keys and re.search(r"\bcx#", keys)]
+    assert same_rows(spark, SF, name)
