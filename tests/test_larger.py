@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 from fellwalk import plans
+from fellwalk.operators import density as D
 from fellwalk.operators import detect as X
+from fellwalk.operators import spatial as S
 from fellwalk.operators import trails as T
 from fellwalk.plans.data import TABLES
 
@@ -125,3 +127,20 @@ def test_bands_of_traces_are_not_shuffled(spark, monkeypatch, name, block):
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert not [keys for keys in dealt if "trace_id" in keys and re.search(r"\bcx#", keys)]
     assert same_rows(spark, SF, name)
+
+
+def test_covered_cells_need_no_spots(spark):
+    rings = spark.createDataFrame([(1, 0, 0, 25.0, 45.0), (1, 0, 1, 25.1, 45.0), (1, 0, 2, 25.1, 45.1), (1, 0, 3, 25.0, 45.1),
+                                   (1, 1, 0, 25.041, 45.041), (1, 1, 1, 25.059, 45.041), (1, 1, 2, 25.059, 45.059), (1, 1, 3, 25.041, 45.059),
+                                   (2, 0, 0, 25.15, 45.0), (2, 0, 1, 25.33, 45.0), (2, 0, 2, 25.15, 45.18)], "poly_id long, ring int, seq int, lng double, lat double")
+    cells = {(c._cx, c._cy) for c in S.covered_cells(rings, 0.02).collect()}
+    # the hole's cell (1252, 2252) and cells on the rims are not covered
+    assert {(1251, 2251), (1253, 2253), (1259, 2252)} <= cells and not cells & {(1252, 2252), (1250, 2251), (1255, 2251), (1262, 2256), (1257, 2252)}
+    at = spark.createDataFrame([(0, 25.05, 45.02), (1, 25.2, 45.05), (2, 25.05, 45.05), (3, 25.0, 45.2)], "id long, lng double, lat double")
+    found = lambda: sorted(tuple(r) for r in D.habitat_factor(at, "id", rings, rings.where("poly_id = 2")).collect())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(D, "covered_cells", lambda polys, size: S.covered_cells(polys, size).limit(0))  # every spot is tested
+        tested = found()
+    assert found() == tested and any(0 < r[2] < 1 for r in tested)
+    plan = plans.all_queries()["habitat_factor"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan  # spots come from the cells that are left
