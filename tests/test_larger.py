@@ -1,13 +1,16 @@
 """Queries against their SQL twins on small tables with what only larger tables hold."""
 
+import math
 import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fellwalk import plans
 from fellwalk.operators import density as D
 from fellwalk.operators import detect as X
+from fellwalk.operators import search
 from fellwalk.operators import spatial as S
 from fellwalk.operators import trails as T
 from fellwalk.plans.data import TABLES
@@ -144,3 +147,30 @@ def test_covered_cells_need_no_spots(spark):
     assert found() == tested and any(0 < r[2] < 1 for r in tested)
     plan = plans.all_queries()["habitat_factor"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan  # spots come from the cells that are left
+
+
+def test_vectors_meet_distinct_tokens_once(spark):
+    # query 3 repeats query 1 and query 4 has the tokens of query 2 turned round
+    features = spark.createDataFrame([(q, p, b) for q, ps in ((1, ([0, 1, 1], [2])), (2, ([1, 2], [0, 9], [2])), (3, ([1, 0, 1], [2])), (4, ([2], [0, 9], [2, 1]))) for p, bs in enumerate(ps) for b in bs], "query_id long, pos int, bucket int")
+    vectors = {0: [1.0, 0.0], 1: [0.0, 2.0], 2: [-1.0, 0.5]}
+    embedding = spark.createDataFrame(list(vectors.items()), "bucket int, v array<double>")
+    queries = spark.createDataFrame([(q, ["w"] * 3) for q in (1, 2, 3, 4, 5)], "query_id long, tokens array<string>")
+    row = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    role_w, cat_w = [[1, 0], [0, 1], [-1, 0], [0, -1], [1, 1], [-1, 1]], [[k % 3 - 1, k % 5 - 2] for k in range(37)]
+    head = F.struct(F.array(*[row(*w) for w in role_w]).alias("role_w"), row(*[0] * 6).alias("role_b"), F.array(*[row(*w) for w in cat_w]).alias("cat_w"), row(*[0] * 37).alias("cat_b"))
+    got = {r.query_id: r for r in search.model_parse(queries, features, embedding, head, 1.0).collect()}
+    words = {}
+    for r in features.collect():
+        if r.bucket in vectors:
+            words.setdefault((r.query_id, r.pos), []).append(vectors[r.bucket])
+    mean = lambda vs: [sum(c) / len(vs) for c in zip(*vs)]
+    assert sorted(got) == [1, 2, 3, 4]
+    for q, r in got.items():
+        each = [mean(words[k]) for k in sorted(words) if k[0] == q]
+        scores = [[w[0] * v[0] + w[1] * v[1] for w in role_w] for v in each]
+        assert r.roles == [search.ROLES[s.index(max(s))] for s in scores]
+        said = mean(each)
+        e = [math.exp(w[0] * said[0] + w[1] * said[1]) for w in cat_w]
+        assert r.cats == pytest.approx([x / sum(e) for x in e])
+    plan = search.model_parse(queries, features, embedding, head, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan  # vectors are not taken apart into rows
