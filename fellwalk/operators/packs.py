@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fellwalk.operators.fixpoint import cut
 from fellwalk.operators.spatial import bbox_join, explode_tiles, filter_bbox_touches_country, with_tile_bbox
 
 
@@ -20,8 +21,9 @@ def pack_tiles(packs: DataFrame) -> DataFrame:
     p = packs.withColumn("l", F.explode(layers)).select("pack_id", "kind", "l.layer", "l.z0", "l.z1", "w", "s", "e", "n")
     t = explode_tiles(p, F.col("z0"), F.col("z1")).select("pack_id", "kind", "layer", "z", "x", "y")
     whole = t.where("kind <> 'country'")
-    clip = with_tile_bbox(t.where("kind = 'country'").select("z", "x", "y").distinct())
-    inside = filter_bbox_touches_country(clip, CLIP_MARGIN).select("z", "x", "y")
+    # materialised, as Spark would move the outline test before the distinct and so to every pack's copy of a tile
+    tiles = cut(t.where("kind = 'country'").select("z", "x", "y").distinct())
+    inside = cut(filter_bbox_touches_country(with_tile_bbox(tiles), CLIP_MARGIN).select("z", "x", "y"))
     return whole.unionByName(t.where("kind = 'country'").join(inside, ["z", "x", "y"], "left_semi").select(whole.columns))
 
 

@@ -174,3 +174,10 @@ def test_vectors_meet_distinct_tokens_once(spark):
         assert r.cats == pytest.approx([x / sum(e) for x in e])
     plan = search.model_parse(queries, features, embedding, head, 1.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan  # vectors are not taken apart into rows
+
+
+@pytest.mark.parametrize("name", ["missing_tiles", "plan_packs"])
+def test_outline_is_tested_once_per_tile(spark, name):
+    plan = plans.all_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan  # the samples have met distinct tiles before, not every pack's copy of them
+    assert same_rows(spark, SF, name)
