@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window as W
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from fellwalk.functions.geo import clamp
 from fellwalk.functions.speed import LEARNED_CLAMP
+from fellwalk.operators import querynet as Q
 from fellwalk.operators.density import auc
+from fellwalk.operators.fixpoint import cut
 from fellwalk.operators.routing import upper_median
 
 FOLDS, MIN_PRESENCES = 5, 5
@@ -73,19 +75,23 @@ def holdout_eval(rows: DataFrame, min_train: int = MIN_TRAIN, min_test: int = MI
     return out.withColumn("ship", F.coalesce(F.col("mae_learned") < F.col("mae_expert"), F.lit(False)))
 
 
-def train_query_parser(labelled: DataFrame, features: DataFrame, buckets: int = 4096, max_iter: int = 20) -> tuple[object, DataFrame]:
-    """Role per word from hashed features. labelled(query_id, pos, role_id), features(query_id, pos, feature).
+def train_query_parser(labelled: DataFrame, features: DataFrame, categories: DataFrame, roles: int, cats: int, buckets: int = Q.BUCKETS, epochs: int = Q.EPOCHS) -> tuple[Q.QueryNet, DataFrame]:
+    """Role per word and category per query from hashed features, through embeddings that both heads share.
 
-    Class weights are square-root balanced; every twentieth query validates. Returns the model and its accuracy.
+    labelled(query_id, pos, role_id), features(query_id, pos, bucket), categories(query_id, cat). Role weights are square-root
+    balanced; every twentieth query validates. Returns the model, with int8 embeddings, and its accuracy.
     """
-    f = features.groupBy("query_id", "pos").agg(F.collect_list("feature").alias("fs"))
-    d = HashingTF(inputCol="fs", outputCol="x", numFeatures=buckets).transform(f.join(labelled, ["query_id", "pos"]))
-    n = labelled.groupBy("role_id").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("weight"))
-    d = d.join(n, "role_id").withColumn("label", F.col("role_id").cast("double")).withColumn("val", F.pmod(F.xxhash64("query_id"), F.lit(20)) == 0)
-    model = LogisticRegression(featuresCol="x", weightCol="weight", maxIter=max_iter, regParam=1e-4, family="multinomial").fit(d.where("not val"))
-    hit = (F.col("prediction") == F.col("label")).cast("double")
-    acc = model.transform(d.where("val")).agg(F.count(F.lit(1)).alias("words"), F.avg(hit).alias("role_accuracy"), F.avg(F.when(F.col("role_id") == 0, hit)).alias("name_recall"))
-    return model, acc
+    words = features.groupBy("query_id", "pos").agg(F.sort_array(F.collect_list("bucket")).alias("fs")).join(labelled, ["query_id", "pos"])
+    rows = words.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "fs", "role_id"))).alias("w")).join(categories, "query_id")
+    rows = rows.select("query_id", F.col("w.fs").alias("features"), F.col("w.role_id").cast("array<int>").alias("roles"), F.col("cat").cast("int").alias("cat"))
+    parts = min(max(-(-categories.count() // Q.PART), 1), Q.PARTS)
+    rows = cut(rows.repartition(parts, "query_id").sortWithinPartitions("query_id"))
+    val = F.pmod(F.xxhash64("query_id"), F.lit(20)) == 0
+    train = rows.where(~val)
+    n = {r["role"]: r["n"] for r in train.select(F.explode("roles").alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = [(sum(n.values()) / (roles * max(n.get(k, 0), 1))) ** 0.5 for k in range(roles)]
+    model = Q.fit(train, weights, cats, buckets, epochs=epochs)
+    return model, Q.evaluate(model, rows.where(val))
 
 
 def train_ranker(lists: DataFrame, features: list[str], max_iter: int = 30) -> tuple[object, DataFrame]:

@@ -49,8 +49,11 @@ def _(d):
     p = S.rule_parse(queries(d))
     roles = F.array(*[F.lit(r) for r in S.ROLES])
     lab = p.select("query_id", F.posexplode("roles").alias("pos", "role")).select("query_id", "pos", (F.array_position(roles, F.col("role")) - 1).cast("int").alias("role_id"))
-    f = S.token_features(p.select("query_id", X.tokens(F.col("query")).alias("tokens"))).select("query_id", "pos", "feature")
-    return M.train_query_parser(lab, f, 1024, 10)[1].select("words", F.round("role_accuracy", 4).alias("role_accuracy"), F.round("name_recall", 4).alias("name_recall"))
+    cat = p.select("query_id", (F.array_position("cats", F.array_max("cats")) - 1).cast("int").alias("cat"))
+    f = S.token_features(p.select("query_id", X.tokens(F.col("query")).alias("tokens")))
+    share = lambda c: F.round(c, 4).alias(c)
+    r = M.train_query_parser(lab, f.select("query_id", "pos", "bucket"), cat, len(S.ROLES), len(S.CATS) + 1)[1]
+    return r.select("words", share("role_accuracy"), share("name_recall"), "queries", share("category_accuracy"))
 
 
 @query("train_ranker")
