@@ -54,6 +54,30 @@ def test_runs_cover_every_string_once():
             assert by_string.setdefault(texts[o][s + k:s + k + 50], a) == a
 
 
+def test_exchanged_anchors_take_few_bytes():
+    """A block of anchors takes under six bytes a row with its documents in 600 buckets, as at 6 GB."""
+    rng = np.random.default_rng(5)
+    h = np.sort(suffix.short(rng.integers(0, 1 << 63, 1 << 18, dtype=np.uint64)))
+    doc = rng.integers(0, 1000, len(h))
+    size = 0
+    for to, own in suffix.dealt(suffix.range_of(h, 600)):
+        body = suffix.packed(h[own].view(np.int64), doc[own])
+        size += len(body)
+        assert (suffix.unpacked(body, 2) == np.stack([h[own].view(np.int64), doc[own]])).all()
+    assert size < 6 * len(h)
+
+
+def test_passages_travel_once(spark):
+    """The texts are exchanged once, compressed, for both joins, whatever other columns they have."""
+    text = "the same passage of more than fifty bytes is in both of these documents, word for word. "
+    docs = spark.createDataFrame([(i, f"{i} {text * 30} {i * 7919}", "web", i) for i in range(40)], "doc_id long, text string, source string, n long")
+    for out in (suffix.digest(docs), suffix.rewritten(docs)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "_z" in plan and "ReusedExchange" in plan
+        assert sum("hashpartitioning(_doc" in line and not "Reused" in line for line in plan.split("\n")) <= 5
+
+
 def test_bucket_labels_equal_single_linkage(monkeypatch):
     rng = random.Random(2)
     for n, small in ((30, 1024), (300, 1024), (300, 8), (300, 8)):
