@@ -38,3 +38,12 @@ def test_totals_are_those_of_all_pairs(spark):
     assert {tuple(r) for r in search.retrieve_totals(w, ix, e).collect()} == want and len(want) == 6
     # a word that is in one name only reaches the entries of this name, and each of them
     assert {r.id for r in pairs.where("query_id = 3").collect()} >= {f"p{i}" for i in range(40) if i % 5 == 3}
+
+
+def test_counts_are_those_of_all_places_around(spark):
+    e, _ = places(spark)
+    rows = [(i % 25, 24.5 + i * 13 % 50 / 20, 43.5 + i * 29 % 60 / 20) for i in range(30)] + [(7, -0.05, 44.0), (99, 80.0, 10.0)]
+    points = spark.createDataFrame(rows, "k long, lng double, lat double")
+    want = {tuple(r) for r in search.near(points, "k", e, 20).groupBy("k").agg(F.count(F.lit(1))).collect()}
+    got = search.near_counts(points, "k", e, 20)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 10
